@@ -267,6 +267,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "tokens"])
 
     sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(of, "doc_id long, tokens array<long>"))
+    release(docs.sparkSession)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("_a")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
@@ -275,9 +276,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose points leave a link open."""
-    slim = nodes.select("node", "n", "point").dropDuplicates(["node"])
-    a = slim.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("point").alias("_pa"))
-    b = slim.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("point").alias("_pb"))
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("point").alias("_pa"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("point").alias("_pb"))
     sized = pairs.join(a, "a").join(b, "b").filter(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,18 +323,21 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = every.filter(F.col("doc_id").isNotNull())
     found = cut(_sets(texts))
-    sets = found.filter(F.col("part").isNull()).drop("part", "counts")
+    sets = cut(found.filter(F.col("part").isNull()).drop("part", "counts"))
     busy = _busy(found)
+    del found
     classes = cut(sets.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")))
 
     nodes = cut(_nodes(texts, busy, percent))
+    at = cut(nodes.select("node", "n", "point").dropDuplicates(["node"]))
     rows = _token_rows(nodes)
     blocks = cut(rows.groupBy("token").agg(F.min("node").alias("centre"), F.max("node").alias("_most")).filter(F.col("centre") < F.col("_most")).drop("_most"))
     release(spark)
     shared = cut(rows.join(blocks, "token").filter(F.col("node") != F.col("centre")))
+    del nodes, rows, blocks
     pairs = shared.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     release(spark)
-    links = cut(_verified(cut(_bounded(pairs, nodes, percent)), texts, percent))
+    links = cut(_verified(cut(_bounded(pairs, at, percent)), texts, percent))
     release(spark)
 
     linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -343,7 +346,7 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
     mixed = cut(in_part.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_m")).filter(F.col("_a") < F.col("_b")).select("token", F.ceil(F.col("_m") / tile_rows).cast("int").alias("tiles")))
     tiled = in_part.join(mixed, "token").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     cells = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component")
-    cells = cells.join(nodes.select("node", "n", "point").dropDuplicates(["node"]), "node")
+    cells = cells.join(at, "node")
     more = cut(_between(cells, percent))
     release(spark)
     if more.limit(1).count():

@@ -111,7 +111,7 @@ def _warc_sql() -> str:
 
 _LEDGER_SQL = rf"""
     WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS txt FROM documents),
-    w AS (SELECT k, doc_id, txt, regexp_extract_all(txt, '{WORD}') AS ws, list_filter(string_split(txt, chr(10)), x -> regexp_matches(x, '{WORD}')) AS ls FROM d),
+    w AS (SELECT k, doc_id, txt, regexp_extract_all(txt, '{WORD}') AS ws, list_filter(string_split(txt, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
     win AS (SELECT k, i, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
     twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM win) WHERE n > 1),
     rep AS (SELECT k, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nxt FROM twice) GROUP BY k),
