@@ -3,7 +3,9 @@
 Tokens (shingle hashes) are hashed into `GROUPS` groups; a document's group counts are a point. Two
 sets overlap in no more than the sum of the coordinate minima of their points, and for a box of
 points the upper corner takes the point's place, so a tree of boxes finds the points that a set may
-be linked to. What survives is verified on the sets themselves.
+be linked to. Large sets have more groups, so that the bound stays sharp; points fold to fewer
+groups by adding, as the tree and pairs of unlike sizes need. What survives is verified on the sets
+themselves.
 
 At scale the index is dealt out in blocks: two sets that are linked share one of the tokens that
 come first in a common order of all tokens (one fifth of a set, rounded up), so each such token is a
@@ -13,7 +15,9 @@ count last, which keeps blocks of common passages out. Equal sets are one class
 Only the components of the link graph are asked for, so pairs are not expanded within groups:
 first each member of a block is held against the block's least member, and what is verified is
 contracted; then, in blocks that still hold several components, the tree searches pairs between
-components. No pair of different components goes unseen, so no link between components is lost.
+components. No pair of different components goes unseen, so no link between components is lost. A
+block's token is the first that a pair shares in one of its blocks, so there the tokens that come
+after it bound the overlap as well; of blocks with the same members only the first is searched.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ SHINGLE = 5
 #: Linked: PERCENT * size of the union is not above 100 * size of the intersection.
 PERCENT = 80
 GROUPS = 64
+MOST_GROUPS = 1 << 14
 SKETCH_BITS = 20
 _PARTS = 64
 LEAF = 16
@@ -175,11 +180,19 @@ def first_tokens(tokens: np.ndarray, bounds: np.ndarray, busy: np.ndarray, perce
     return tokens[order][rank < np.repeat(take, n)], np.append(0, np.cumsum(take))
 
 
-def points(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Group counts of each set; a count beyond what two bytes hold stands for any count."""
-    rows = len(bounds) - 1
-    cell = np.repeat(np.arange(rows), np.diff(bounds)) * GROUPS + (tokens & np.uint64(GROUPS - 1)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=rows * GROUPS), _FULL).reshape(rows, GROUPS).astype(np.uint16)
+def groups_of(n: int) -> int:
+    """Groups of a set of n: a power of two, so that a group has two to four tokens in large sets."""
+    return min(max(GROUPS, 1 << max(0, (n - 1) // 4).bit_length()), MOST_GROUPS)
+
+
+def point(tokens: np.ndarray) -> np.ndarray:
+    """Group counts of a set; a count beyond what two bytes hold stands for any count."""
+    g = groups_of(len(tokens))
+    return np.minimum(np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g), _FULL).astype(np.uint16)
+
+
+def folded(at: np.ndarray, groups: int) -> np.ndarray:
+    return at if len(at) == groups else np.minimum(at.reshape(-1, groups).sum(axis=0, dtype=np.int64), _FULL).astype(np.uint16)
 
 
 NODES = "node long, n long, point binary, tokens array<long>"
@@ -207,7 +220,7 @@ def _nodes(docs: DataFrame, busy: np.ndarray, percent: int) -> DataFrame:
                 tokens, bounds = tokens[np.repeat(new, n)], np.append(0, np.cumsum(n[new]))
                 firsts, ends = first_tokens(tokens, bounds, held.value, percent)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(firsts.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][new].astype(np.int64)), pa.array(n[new]), pa.array([x.tobytes() for x in points(tokens, bounds)], pa.binary()), lists], names=["node", "n", "point", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][new].astype(np.int64)), pa.array(n[new]), pa.array([point(tokens[x:y]).tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()), lists], names=["node", "n", "point", "tokens"])
 
     return docs.mapInArrow(of, NODES)
 
@@ -224,35 +237,44 @@ def may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, per
     return both.sum(axis=-1) >= needed(n1, n2, percent)
 
 
+def pair_may_link(n1: int, b1: bytes, n2: int, b2: bytes, percent: int = PERCENT) -> bool:
+    """The same for two stored points, in the fewer of their groups."""
+    p1, p2 = np.frombuffer(b1, np.uint16), np.frombuffer(b2, np.uint16)
+    g = min(len(p1), len(p2))
+    return bool(may_link(n1, folded(p1, g), n2, folded(p2, g), percent))
+
+
 class CountTree:
-    """R-tree of points for overlap search: boxes keep their upper corners and least sizes, level by level."""
-
-    def __init__(self, sizes: np.ndarray, at: np.ndarray, leaf: int = LEAF):
-        self.order = np.lexsort((*[at[:, k] for k in range(min(4, at.shape[1]))], sizes))
-        self.sizes, self.points, self.leaf = sizes[self.order], at[self.order], leaf
-        self.levels = []
-        tops, least = self.points, self.sizes
-        while len(tops) > 1:
-            cuts = np.arange(0, len(tops), leaf)
-            tops, least = np.maximum.reduceat(tops, cuts, axis=0), np.minimum.reduceat(least, cuts)
-            self.levels.append((least, tops))
-
-    def search(self, n: int, point: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-        """Places (as given at the start) of the points that a set of this size and point may be linked to."""
-        here = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.sizes))
+    """R-tree for overlap search in a block: boxes keep upper corners, least sizes, the most tokens that follow, and components."""
+
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, rest: np.ndarray, component: np.ndarray, leaf: int = LEAF):
+        self.order, self.leaf = np.lexsort((sizes, component)), leaf
+        level = tuple(x[self.order] for x in (sizes, at, rest, component, component))
+        self.levels = [level]
+        while len(level[0]) > leaf:
+            cuts = np.arange(0, len(level[0]), leaf)
+            how = (np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+            level = tuple(f.reduceat(x, cuts, axis=0) for f, x in zip(how, level, strict=True))
+            self.levels.append(level)
+
+    def search(self, n: int, at: np.ndarray, rest: int, component: int, percent: int = PERCENT) -> np.ndarray:
+        """Places (as given at the start) of points of other components that the set may be linked to."""
+        here = np.arange(len(self.levels[-1][0]))
         for level in range(len(self.levels) - 1, -1, -1):
-            least, tops = self.levels[level]
-            here = here[may_link(n, point, least[here], tops[here], percent)]
-            below = len(self.levels[level - 1][0]) if level else len(self.sizes)
-            here = (here[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-            here = here[here < below]
-        small = np.minimum(self.sizes[here], n) * 100 >= np.maximum(self.sizes[here], n) * percent
-        here = here[small]
-        return self.order[here[may_link(n, point, self.sizes[here], self.points[here], percent)]]
+            least, tops, follow, low, high = self.levels[level]
+            here = here[(low[here] != component) | (high[here] != component)]
+            need = needed(n, np.maximum(least[here], -(-n * percent // 100)), percent)
+            here = here[(np.minimum(follow[here], rest) + 1 >= need) & (least[here] * percent <= n * 100)]
+            here = here[may_link(n, at, least[here], tops[here], percent)]
+            if level:
+                here = (here[:, None] * self.leaf + np.arange(self.leaf)).ravel()
+                here = here[here < len(self.levels[level - 1][0])]
+        return self.order[here]
 
 
 def _token_rows(nodes: DataFrame) -> DataFrame:
-    return nodes.select(F.explode("tokens").alias("token"), "node")
+    """(token, node, rest): rest is how many tokens of the set come after this one in the common order."""
+    return nodes.select("node", "n", F.posexplode("tokens").alias("at", "token")).select("token", "node", (F.col("n") - F.col("at") - 1).cast("int").alias("rest"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -285,31 +307,58 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             c = dict(zip(batch.schema.names, batch.columns, strict=True))
-            p = [np.frombuffer(b"".join(c[x].to_pylist()), np.uint16).reshape(-1, GROUPS) for x in ("_pa", "_pb")]
-            keep = may_link(c["_na"].to_numpy(), p[0], c["_nb"].to_numpy(), p[1], percent)
+            keep = [pair_may_link(*x, percent) for x in zip(*[c[k].to_pylist() for k in ("_na", "_pa", "_nb", "_pb")], strict=True)]
             yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(keep)), c["b"].filter(pa.array(keep))], names=["a", "b"])
 
     return sized.mapInArrow(of, "a long, b long")
 
 
+_CELL = ("token", "i", "j")
+
+
+def _cell_pairs(cell: pd.DataFrame, tiles: bool, percent: int) -> list[tuple[int, int]]:
+    node, n, component, tile, rest, stored = (cell[c].to_numpy() for c in ("node", "n", "component", "tile", "rest", "point"))
+    at = np.array([folded(np.frombuffer(x, np.uint16), GROUPS) for x in stored])
+    tree, found = CountTree(n, at, rest, component), []
+    for k in range(len(node)):
+        near = tree.search(int(n[k]), at[k], int(rest[k]), component[k], percent)
+        near = near[node[near] > node[k]]
+        if tiles:
+            near = near[tile[near] != tile[k]]
+        found += [(int(node[k]), int(node[x])) for x in near if pair_may_link(int(n[k]), stored[k], int(n[x]), stored[x], percent)]
+    return found
+
+
 def _between(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within cells (token, i, j) that their points leave open."""
+    """Pairs (a, b) of different components within cells (token, i, j) that all bounds leave open.
+
+    A cell has two tiles at most. Cells follow each other in sorted partitions; one is held at a time.
+    """
 
-    def cell(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        at = np.frombuffer(b"".join(part["point"]), np.uint16).reshape(-1, GROUPS)
-        node, n, comp, tile = (part[c].to_numpy() for c in ("node", "n", "component", "tile"))
-        tree = CountTree(n, at)
-        found = []
-        for k in range(len(node)):
-            near = tree.search(int(n[k]), at[k], percent)
-            near = near[(comp[near] != comp[k]) & (node[near] > node[k])]
-            if key[1] != key[2]:
-                near = near[tile[near] != tile[k]]
-            found.append(np.column_stack([np.full(len(near), node[k]), node[near]]))
-        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame(out, columns=["a", "b"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(part: pd.DataFrame) -> list[tuple[int, int]]:
+            return _cell_pairs(part, part["i"].iloc[0] != part["j"].iloc[0], percent) if len(part) > 1 else []
+
+        left = None
+        for batch in batches:
+            part = batch.to_pandas()
+            if left is not None:
+                part = pd.concat([left, part], ignore_index=True)
+            if not len(part):
+                continue
+            keys = part[list(_CELL)].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            starts = [0, *cuts.tolist()]
+            pairs: set[tuple[int, int]] = set()
+            for a, b in zip(starts, starts[1:], strict=False):
+                pairs.update(done(part.iloc[a:b]))
+            left = part.iloc[starts[-1] :]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if left is not None and len(left):
+            pairs = set(done(left))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.groupBy("token", "i", "j").applyInPandas(cell, "a long, b long").distinct()
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(of, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -342,10 +391,13 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
 
     linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     in_part = shared.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    in_part = cut(in_part.select("token", "node", "component"))
-    mixed = cut(in_part.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_m")).filter(F.col("_a") < F.col("_b")).select("token", F.ceil(F.col("_m") / tile_rows).cast("int").alias("tiles")))
+    in_part = cut(in_part.select("token", "node", "rest", "component"))
+    whole = F.sum("rest").alias("_rest")  # of blocks with the same members, the one whose token comes first has the most
+    members = F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y"), F.count(F.lit(1)).alias("_m")
+    mixed = in_part.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), *members, whole).filter(F.col("_a") < F.col("_b"))
+    mixed = cut(mixed.groupBy("_x", "_y", "_m").agg(F.max(F.struct("_rest", "token")).alias("_first")).select("_first.token", F.ceil(F.col("_m") / tile_rows).cast("int").alias("tiles")))
     tiled = in_part.join(mixed, "token").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    cells = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component")
+    cells = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "rest", "component")
     cells = cells.join(at, "node")
     more = cut(_between(cells, percent))
     release(spark)
