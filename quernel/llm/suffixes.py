@@ -1,9 +1,10 @@
 """Suffix-array deduplication: bytes of strings of `LENGTH` that also start elsewhere are removed.
 
-Every window of LENGTH bytes names an anchor, the place of its least 32-byte hash, so equal windows
-name equal anchors. Neighbouring windows with one anchor make a segment, and a string that starts
-twice lies in two segments with one anchor hash. Segments whose anchor hash is unique in the corpus
-go no further. Of the rest, those whose whole content is found again are repeated as a whole, and
+Every window of LENGTH bytes names an anchor, the place of its least 32-byte hash, and the half of
+the window that lies before or after it and is the longer one. Equal windows name equal halves.
+Neighbouring windows that name the same half of one anchor make a segment, and a string that starts
+twice lies in two segments whose halves have one hash, the segments' anchor hash. Segments whose
+anchor hash is unique in the corpus go no further. Of the rest, those whose whole content is found again are repeated as a whole, and
 one of each content stands for all. Contents that share an anchor hash and differ, at the ends of
 copied passages, are gathered in shards by that hash, each shard gets a suffix array by induced sorting, and
 permuted common prefixes of LENGTH or more give the windows that are repeated.
@@ -120,63 +121,33 @@ def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
     return out, int(names[-1]) + 1 if len(names) else 0
 
 
-def _sort_small(s: list[int], letters: int) -> list[int]:
-    """The same sorting, a suffix at a time: for the reduced strings, whose letters are too many for waves."""
-    n = len(s)
-    if n == 1:
-        return [0]
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    sizes = [0] * letters
-    for c in s:
-        sizes[c] += 1
-    heads, ends, total = [], [], 0
-    for k in sizes:
-        heads.append(total)
-        total += k
-        ends.append(total)
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induced(order: list[int]) -> list[int]:
-        out = [-1] * n
-        tail = ends[:]
-        for i in reversed(order):
-            tail[s[i]] -= 1
-            out[tail[s[i]]] = i
-        head = heads[:]
-        for x in range(n):
-            j = out[x] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                out[head[c]] = j
-                head[c] += 1
-        tail = ends[:]
-        for x in range(n - 1, -1, -1):
-            j = out[x] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                tail[c] -= 1
-                out[tail[c]] = j
-        return out
-
-    place = {i: k for k, i in enumerate(lms)}
-    stops = [*lms[1:], n - 1]
-    names, name, before = [0] * len(lms), -1, None
-    for i in induced(lms):
-        if i in place:
-            k = place[i]
-            piece = s[i : stops[k] + 1]
-            if piece != before:
-                name, before = name + 1, piece
-            names[k] = name
-    if name + 1 < len(lms):
-        order = [lms[k] for k in _sort_small(names, name + 1)]
-    else:
-        order = [0] * len(lms)
-        for k, x in enumerate(names):
-            order[x] = lms[k]
-    return induced(order)
+def _sort_reduced(names: np.ndarray) -> np.ndarray:
+    """Sorted suffixes of the string of names; the last name is the least and unique.
+
+    Rank pairs at doubling distance; only suffixes that still share a rank are sorted again.
+    """
+    n, step = len(names), 1
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(n, np.int64)
+    sorted_names = names[order]
+    starts = np.flatnonzero(np.append(True, sorted_names[1:] != sorted_names[:-1]))
+    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
+    sizes = np.diff(np.append(starts, n))
+    open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))  # places in the order, in groups
+    while len(open_):
+        at = order[open_]
+        group = rank[at]
+        key = group * (n + 1) + rank[at + step]
+        by = np.argsort(key, kind="stable")
+        at, key, group = at[by], key[by], group[by]
+        order[open_] = at
+        new = np.append(True, key[1:] != key[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(at)))
+        rank[at] = np.repeat(open_[starts], sizes)
+        open_ = open_[np.repeat(sizes > 1, sizes)]
+        step *= 2
+    return order
 
 
 def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
@@ -189,7 +160,7 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
     names, n_names = _names(s, lms, rough[is_lms[rough]])
-    order = np.array(_sort_small(names.tolist(), n_names), np.int64) if n_names < len(lms) else np.argsort(names)
+    order = _sort_reduced(names) if n_names < len(lms) else np.argsort(names)
     return _induce(s, small, lms[order], letters)
 
 
@@ -262,6 +233,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, last window, anchor hash) of texts that lie end to end; places count from each text's start."""
+    half = length // 2
     n = len(data)
     none = np.empty(0, np.int64)
     if n < length:
@@ -285,7 +257,16 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np
     stops = valid.copy()
     stops[:-1] &= starts[1:] | ~valid[1:]
     first, last = np.flatnonzero(starts), np.flatnonzero(stops)
-    return row[first], first - at[row[first]], last - at[row[first]], hashes[anchor[first]]
+    place = anchor[first]
+    # windows that begin half a window or more before the anchor hold the half before it, others the one after it
+    before, after = first <= place - half, last > place - half
+    lo = np.concatenate([first[before], np.maximum(first, place - half + 1)[after]])
+    hi = np.concatenate([np.minimum(last, place - half)[before], last[after]])
+    begin = np.concatenate([place[before] - half, place[after]])
+    held = data.tobytes()
+    salt = np.repeat([1, 2], [before.sum(), after.sum()])
+    keys = [xxhash.xxh3_64_intdigest(held[x : x + half], k) for x, k in zip(begin.tolist(), salt.tolist(), strict=True)]
+    return row[lo], lo - at[row[lo]], hi - at[row[lo]], np.array(keys, np.uint64)
 
 
 def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
