@@ -135,8 +135,8 @@ def cube(units: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         free = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(settled.filter(~free))
         rest = settled.filter(free).drop("n_docs")
-        counts = rest.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
-        open_ = rest.join(counts, rest["source"].eqNullSafe(counts["source"])).drop(counts["source"]).select(schema.names)
+        counts = rest.groupBy(F.col("source").alias("_by")).agg(F.count(F.lit(1)).alias("n_docs"))
+        open_ = rest.join(counts, F.col("source").eqNullSafe(F.col("_by"))).select(schema.names)
         level += 1
     out = done[0]
     for more in done[1:]:
@@ -152,8 +152,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     Repeated rows are rows of their own; an empty table gives an empty table.
     """
     sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words().alias("size")))
-    sources = cut(source_targets(sizes, weights, share, most))
-    joined = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    sources = cut(source_targets(sizes, weights, share, most).withColumnRenamed("source", "_by"))
+    joined = sizes.join(sources, F.col("source").eqNullSafe(F.col("_by"))).drop("_by")
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     joined = joined.withColumn("_whole", F.floor(ratio + CLOSE).cast("int")).withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("_whole")))
     joined = cut(joined)

@@ -153,10 +153,10 @@ def find(docs: DataFrame, **options) -> DataFrame:
     key = ["doc_id", "_text"]
     found = base_spans(docs).withColumn("_text", F.xxhash64("text"))
     more = discover(found, key, **options)
-    by = more.groupBy(*key).agg(F.collect_set(F.struct("start", "kind", "stop")).alias("_more"))
+    by = more.groupBy(*[F.col(k).alias(f"_by_{k}") for k in key]).agg(F.collect_set(F.struct("start", "kind", "stop")).alias("_more"))
     slim = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
-    on = reduce(lambda a, b: a & b, [found[k].eqNullSafe(by[k]) for k in key])
-    joined = found.join(by, on, "left").drop(*[by[k] for k in key])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in key])
+    joined = found.join(by, on, "left").drop(*[f"_by_{k}" for k in key])
     merged = F.sort_array(F.concat(slim, F.coalesce("_more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
     return joined.withColumn("base", slim).withColumn("spans", merged).drop("_more", "_text")
 
