@@ -82,7 +82,8 @@ def attribute_additive(engine: Engine, metric: str, segment: str, time: str, bas
 
 
 def _quotient(a: Column, b: Column) -> Column:
-    return F.try_divide(a.cast("decimal(38,18)"), b.cast("decimal(38,18)")).cast(QUOTIENT)
+    """To twelve places; a quotient of two decimals this wide would keep six."""
+    return F.try_divide(a.cast("double"), b.cast("double")).cast(QUOTIENT)
 
 
 def attribute_ratio(engine: Engine, metric: str, segment: str, time: str, baseline: Period, current: Period) -> DataFrame:
