@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 
 from quernel.errors import EngineError
-from quernel.functions.expressions import aggregates, names_in
+from quernel.functions.expressions import aggregates, names_in, outside
 
 GRAINS = ("year", "quarter", "month", "week", "day", "hour")
 TYPES = {"string": "string", "integer": "bigint", "decimal": "decimal(38,18)", "float": "double", "boolean": "boolean", "date": "date", "time": "time", "datetime": "timestamp_ntz", "datetimetz": "timestamp", "opaque": None}
@@ -21,6 +21,7 @@ class Field:
     expr: str = ""
     type: str = "opaque"
     dimension: bool = True
+    about: dict | None = None
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ class Dataset:
     unique_keys: tuple[tuple[str, ...], ...] = ()
     grains: dict[str, Grain] = field(default_factory=dict)
     base_time: str | None = None
+    about: dict | None = None
 
     def unique_on(self, columns: tuple[str, ...]) -> bool:
         return any(k and set(k) == set(columns) for k in (self.primary_key, *self.unique_keys))
@@ -75,7 +77,10 @@ class Spine:
 
 @dataclass(frozen=True)
 class Metric:
-    """An aggregate over fields, an expression over metrics, or one of the special kinds named by their option."""
+    """An aggregate over fields, an expression over metrics, or one of the special kinds named by their option.
+
+    about: description, aliases, owner, lifecycle, certification, replacement; and what reviewers expect: type, aggregation.
+    """
 
     name: str
     expr: str = ""
@@ -90,6 +95,10 @@ class Metric:
     semi_additive: dict | None = None
     conversion: dict | None = None
     algebra: str | None = None
+    about: dict | None = None
+
+
+ABOUT = {"description", "aliases", "owner", "lifecycle", "certification", "replacement", "expects"}
 
 
 class Model:
@@ -111,6 +120,14 @@ class Model:
         for m in self.metrics:
             self.kind(m)
             self.closure([m])
+            self._check_pick(m)
+
+    def _check_pick(self, name: str) -> None:
+        """A pick over another pick chooses by the same time and tie break, with the same nulls, and over no rollup."""
+        o = self.metrics[name].semi_additive
+        inner = self.metric(o["metric"]).semi_additive if o else None
+        if inner and (inner.get("groupings") or any(inner.get(k) != o.get(k) for k in ("time", "tie_break", "null_policy"))):
+            raise EngineError("INVALID_SEMI_ADDITIVE", f"{name} over {o['metric']}")
 
     def field(self, name: str) -> tuple[Dataset, Field]:
         """By `dataset.field`, or by a bare name that one dataset has."""
@@ -143,6 +160,8 @@ class Model:
             if not [x for x in names_in(m.expr) if x in self.metrics]:
                 raise EngineError("INVALID_METRIC", f"{name} aggregates nothing")
             return "derived"
+        if bare := [x for x in outside(m.expr) if x not in self.metrics]:
+            raise EngineError("MIXED_AGGREGATE", f"{name} has {', '.join(bare)} outside its aggregates")
         return "source"
 
     def inputs(self, name: str) -> list[str]:
@@ -229,6 +248,8 @@ def _index(kind: str, items: list) -> dict[str, Any]:
 
 def _strict(cls: type, given: dict) -> dict:
     known = {f.name for f in fields(cls)}
+    if extra := set(given.get("about") or ()) - ABOUT:
+        raise EngineError("UNKNOWN_KEY", f"about: {', '.join(sorted(extra))}")
     if extra := set(given) - known:
         raise EngineError("UNKNOWN_KEY", f"{cls.__name__}: {', '.join(sorted(extra))}")
     return given

@@ -8,6 +8,8 @@ and pruning, pushdown and join strategies are Catalyst's.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -269,13 +271,9 @@ class Engine:
                     parts.append(own.filter(self.leaf(F.col(n), where, self.model.metric(n).type)))
         df = frames.align(parts, scope.labels)
         for n in closed:
-            m = self.model.metric(n)
             if kinds[n] == "derived":
-                df = df.withColumn(n, over_metrics(m.expr, lambda x: F.col(x)))
-            if m.scale:
-                df = df.withColumn(n, F.col(n) * F.expr(m.scale))
-            if m.fill_zero:
-                df = df.withColumn(n, F.coalesce(F.col(n), F.lit(0)))
+                df = df.withColumn(n, over_metrics(self.model.metric(n).expr, lambda x: F.col(x)))
+            df = self.finished(df, n)
         return df.select(*scope.labels, *names)
 
     def time_dim(self, name: str, scope: Scope) -> Dim:
@@ -426,21 +424,39 @@ class Engine:
         df = frames.boundary(df, base, [*others, "_reset"], order)
         return self.after(df, dim, after).select(*scope.labels, F.col(base).alias(name))
 
-    def _semi_additive(self, name: str, scope: Scope) -> DataFrame:
+    def finished(self, df: DataFrame, name: str) -> DataFrame:
+        m = self.model.metric(name)
+        if m.scale:
+            df = df.withColumn(name, F.col(name) * F.expr(m.scale))
+        return df.withColumn(name, F.coalesce(F.col(name), F.lit(0))) if m.fill_zero else df
+
+    def selected(self, name: str, scope: Scope) -> DataFrame:
+        """The value picked for each of the scope's groups, with the struct `_at` of time and tie break that it was picked by.
+
+        Over another pick, the choice is among what that one picked, by the times it picked them at.
+        """
         o = self.model.metric(name).semi_additive
-        base, groups = o["metric"], [self.name(g) for g in o.get("groupings", [])]
-        extra = [Dim(f"_g{k}", g) for k, g in enumerate(groups)]
-        order = [Dim("_time", self.name(o["time"]))] + ([Dim("_tie", self.name(o["tie_break"]))] if o.get("tie_break") else [])
-        df = self.evaluate([base], replace(scope, dims=(*scope.dims, *extra, *order)))
+        base = o["metric"]
+        if self.model.kind(base) == "semi_additive":
+            df = self.finished(self.selected(base, scope), base)
+        else:
+            order = [Dim("_time", self.name(o["time"]))] + ([Dim("_tie", self.name(o["tie_break"]))] if o.get("tie_break") else [])
+            df = self.evaluate([base], replace(scope, dims=(*scope.dims, *order)))
+            df = df.filter(F.col("_time").isNotNull()).withColumn("_at", F.struct(*[d.label for d in order]))
         if o.get("null_policy") == "skip":
             df = df.filter(F.col(base).isNotNull())
-        key = F.struct(*[d.label for d in order])
-        by = [*scope.labels, *[d.label for d in extra]]
-        df = frames.pick(df.filter(F.col("_time").isNotNull()), base, by, key, o.get("choose", "last") == "last")
-        if groups:
+        both = df.withColumn("_picked", F.struct(F.col(base).alias("value"), F.col("_at").alias("at")))
+        out = frames.pick(both, "_picked", scope.labels, F.col("_at"), o.get("choose", "last") == "last")
+        return out.select(*scope.labels, F.col("_picked.value").alias(name), F.col("_picked.at").alias("_at"))
+
+    def _semi_additive(self, name: str, scope: Scope) -> DataFrame:
+        o = self.model.metric(name).semi_additive
+        extra = [Dim(f"_g{k}", self.name(g)) for k, g in enumerate(o.get("groupings", []))]
+        df = self.selected(name, replace(scope, dims=(*scope.dims, *extra)))
+        if extra:
             how = {"sum": F.sum, "min": F.min, "max": F.max}[o.get("rollup", "sum")]
-            df = df.groupBy(*scope.labels).agg(how(base).alias(base))
-        return df.select(*scope.labels, F.col(base).alias(name))
+            df = df.groupBy(*scope.labels).agg(how(name).alias(name))
+        return df.select(*scope.labels, name)
 
     def _conversion(self, name: str, scope: Scope) -> DataFrame:
         o = self.model.metric(name).conversion
@@ -576,16 +592,34 @@ class Engine:
             out |= {f"{d.name}.{f.name}": status for f in d.fields.values() if f.dimension}
         return out
 
-    def search(self, text: str) -> dict[str, list[str]]:
-        """Datasets, fields and metrics whose names have the text."""
-        t = text.lower()
-        every = {"datasets": list(self.model.datasets), "fields": [f"{d.name}.{f}" for d in self.model.datasets.values() for f in d.fields], "metrics": list(self.model.metrics)}
-        return {k: sorted(x for x in v if t in x.lower()) for k, v in every.items()}
-
 
-def bounded(df: DataFrame, most_rows: int, most_bytes: int | None = None) -> list:
-    """All rows or none: fails beyond the limits, and never fetches more than one row beyond them."""
-    rows = df.limit(most_rows + 1).collect()
+def bounded(df: DataFrame, most_rows: int, most_bytes: int | None = None, seconds: float | None = None) -> list:
+    """All rows or none: fails beyond the limits, never fetches more than one row beyond them, and ends its jobs after `seconds`."""
+    late, sc = threading.Event(), df.sparkSession.sparkContext
+    before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    group, timer = f"bounded-{uuid.uuid4().hex}", None
+    if seconds is not None:
+
+        def stop() -> None:
+            late.set()
+            sc.cancelJobGroup(group)
+
+        timer = threading.Timer(seconds, stop)
+        sc.setJobGroup(group, "bounded result", interruptOnCancel=True)
+        timer.start()
+    try:
+        rows = df.limit(most_rows + 1).collect()
+    except Exception as failure:
+        if late.is_set():
+            raise EngineError("EXECUTION_TIMEOUT", f"more than {seconds} seconds") from failure
+        raise
+    finally:
+        if timer:
+            timer.cancel()
+            for k, v in before.items():
+                sc.setLocalProperty(k, v)
+    if late.is_set():
+        raise EngineError("EXECUTION_TIMEOUT", f"more than {seconds} seconds")
     if len(rows) > most_rows:
         raise EngineError("RESULT_TOO_LARGE", f"more than {most_rows} rows")
     if most_bytes is not None and sum(len(str(r)) for r in rows) > most_bytes:

@@ -89,6 +89,8 @@ MODEL = {
         {"name": "event_count", "expr": "COUNT(events.event_id)", "type": "integer", "time": "events.ts"},
         {"name": "last_value", "semi_additive": {"metric": "event_value", "time": "events.ts", "tie_break": "events.event_id"}},
         {"name": "first_value", "semi_additive": {"metric": "event_value", "time": "events.ts", "tie_break": "events.event_id", "choose": "first"}},
+        {"name": "last_again", "semi_additive": {"metric": "last_value", "time": "events.ts", "tie_break": "events.event_id", "choose": "first"}},
+        {"name": "last_again_by_user", "semi_additive": {"metric": "last_value", "time": "events.ts", "tie_break": "events.event_id", "groupings": ["events.user_id"], "rollup": "max"}},
         {"name": "last_known", "semi_additive": {"metric": "view_value", "time": "events.ts", "tie_break": "events.event_id", "null_policy": "skip"}},
         {"name": "view_value", "expr": f"SUM(CASE WHEN events.event_type = 'view' THEN {_EVENT} END)", "time": "events.ts"},
         *[{"name": f"last_by_user_{r}", "semi_additive": {"metric": "event_value", "time": "events.ts", "tie_break": "events.event_id", "groupings": ["events.user_id"], "rollup": r}} for r in ("sum", "min", "max")],
@@ -336,6 +338,8 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fiscal_year_start": (_ask(metrics=["fiscal_year_open"], dimensions=_by("fiscal_week", "fiscal.f_day")), f"WITH {_FISCAL} SELECT {_WEEK.format(w='wk')} AS period, {_r('first_value(v) OVER (PARTITION BY wk // 52 ORDER BY wk)')} AS fiscal_year_open FROM g"),
     "semi_last": (_ask(metrics=["last_value"], dimensions=["events.event_type"]), f"SELECT event_type, {_r('v')} AS last_value FROM {_last('DESC')} WHERE k = 1"),
     "semi_first": (_ask(metrics=["first_value"], dimensions=["events.event_type"]), f"SELECT event_type, {_r('v')} AS first_value FROM {_last('ASC')} WHERE k = 1"),
+    "semi_composed": (_ask(metrics=["last_again"], dimensions=["events.event_type"]), f"SELECT event_type, {_r('v')} AS last_again FROM {_last('DESC')} WHERE k = 1"),
+    "semi_composed_window": (_ask(metrics=["last_again_by_user"], dimensions=["events.event_type"]), f"SELECT event_type, {_r('max(v)')} AS last_again_by_user FROM {_last('DESC', 'user_id, ')} WHERE k = 1 GROUP BY 1"),
     "semi_skip_null": (_ask(metrics=["last_known"]), f"SELECT {_r('v')} AS last_known FROM {_last('DESC', where=''' AND event_type = 'view' AND value IS NOT NULL''')} WHERE k = 1"),
     **{f"semi_window_{r}": (_ask(metrics=[f"last_by_user_{r}"], dimensions=["events.event_type"]), f"SELECT event_type, {_r(f'{r}(v)')} AS last_by_user_{r} FROM {_last('DESC', 'user_id, ')} WHERE k = 1 GROUP BY 1") for r in ("sum", "min", "max")},
     "semi_by_week": (

@@ -92,6 +92,9 @@ def test_models_that_are_rejected():
         ([{"name": "a", "expr": "SUM(AVG(d.x))"}], "NESTED_AGGREGATE"),
         ([{"name": "a", "expr": "b + 1"}, {"name": "b", "expr": "a + 1"}], "METRIC_CYCLE"),
         ([{"name": "a", "expr": "d.x + 1"}], "INVALID_METRIC"),
+        ([{"name": "a", "expr": "SUM(d.x) + d.x"}], "MIXED_AGGREGATE"),
+        ([{"name": "a", "expr": "SUM(d.x)"}, {"name": "b", "semi_additive": {"metric": "a", "time": "d.x", "groupings": ["d.x"]}}, {"name": "c", "semi_additive": {"metric": "b", "time": "d.x"}}], "INVALID_SEMI_ADDITIVE"),
+        ([{"name": "a", "expr": "SUM(d.x)", "about": {"odd": 1}}], "UNKNOWN_KEY"),
         ([{"name": "a", "expr": "SUM(d.x)", "odd": 1}], "UNKNOWN_KEY"),
     ):
         with pytest.raises(EngineError) as e:
@@ -138,7 +141,14 @@ def test_bounded_results_and_discovery(sales):
         bounded(sales.query({"dimensions": ["nation.n_name"]}), 3)
     df, cut = sales.dimension_values("region.r_name", 2)
     assert cut(df.collect()) and sales.compatible_dimensions(["revenue"])["region.r_name"] == "compatible"
-    assert sales.compatible_dimensions(["revenue"])["part.p_brand"] == "unreachable" and "revenue" in sales.search("reven")["metrics"]
+    assert sales.compatible_dimensions(["revenue"])["part.p_brand"] == "unreachable"
+
+
+def test_results_end_after_their_time(spark):
+    slow = spark.range(1 << 40).selectExpr("sum(hash(id)) AS s")
+    with pytest.raises(EngineError) as e:
+        bounded(slow, 1, seconds=2)
+    assert e.value.code == "EXECUTION_TIMEOUT" and bounded(spark.range(3), 3, seconds=60) and spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
 
 
 def test_scaffold_loads(spark):
