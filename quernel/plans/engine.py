@@ -513,6 +513,42 @@ class Engine:
             out.append(Dim(r.label, f"{d.name}.{found[1].bucket}", r.grain, True))
         return tuple(out)
 
+    def leaves(self, f: dict) -> list[dict]:
+        parts = f.get("and") or f.get("or") or ([f["not"]] if "not" in f else [])
+        return [x for p in parts for x in self.leaves(p)] if parts else [f]
+
+    def check(self, names: list[str], scope: Scope) -> None:
+        """Rejects filters and groupings that have no one meaning for the metrics asked for."""
+        closed = self.model.closure(names)
+        kinds = {n: self.model.kind(n) for n in closed}
+        sources = [n for n in closed if kinds[n] == "source"]
+        times = {self.name(t) for m in map(self.model.metric, closed) for t in (m.time, (m.semi_additive or {}).get("time")) if t}
+        used = {d.field.split(".")[0] for d in scope.dims} | {d for n in sources for d in self.model.metric_datasets(n)}
+        for f in scope.filters:
+            if "exists" in f:
+                continue
+            leaves = self.leaves(f)
+            if any(map(self.is_metric_filter, leaves)):
+                raise EngineError("INVALID_FILTER", "a metric within a predicate tree")
+            used |= self.datasets_of(f)
+            if leaves != [f]:
+                if any(self.name(x["field"]) in times for x in leaves):
+                    raise EngineError("INVALID_FILTER", "a time dimension within a predicate tree")
+                if len({self.root(n) for n in sources}) > 1 or "conversion" in kinds.values():
+                    raise EngineError("UNSUPPORTED_FILTER", "a predicate tree over several sources, or over a conversion")
+        for f in scope.filters:
+            edge = self.model.relationships.get(f["exists"]["relationship"]) if "exists" in f else None
+            if not edge:
+                continue
+            if edge.temporal or {"conversion", "semi_additive"} & set(kinds.values()):
+                raise EngineError("INVALID_EXISTS", "not over a point-in-time relationship, nor with conversions or picks")
+            if {edge.left, edge.right} <= used:
+                raise EngineError("INVALID_EXISTS", "the target is read by the request itself")
+        for n in closed:
+            bound = self.model.time_of(n) if kinds[n] in ("cumulative", "offset", "offset_to_grain") else None
+            if bound and any(d.grain and not d.custom and d.field != self.name(bound) for d in scope.dims):
+                raise EngineError("CONFLICTING_TIME_DIMENSION", f"{n} is bound to {bound}")
+
     def query(self, given: dict | Request) -> DataFrame:
         """Dimensions, then metrics, in the order asked for."""
         q = given if isinstance(given, Request) else parse(given)
@@ -525,6 +561,7 @@ class Engine:
         scope = Scope(dims, tuple(f for f in q.filters if f not in on_metrics))
         hidden = [f["field"] for f in on_metrics] + [n for n, _ in q.order_by if n in self.model.metrics]
         names = list(dict.fromkeys([*q.metrics, *hidden]))
+        self.check(names, scope)
         if names:
             df = self.evaluate(names, scope)
         else:

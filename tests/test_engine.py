@@ -76,6 +76,14 @@ def test_spine_fills_missing_months(small):
         ({"metrics": ["revenue"], "dimensions": ["part.p_brand"]}, "UNSUPPORTED_RELATIONSHIP_FANOUT"),
         ({"metrics": ["revenue_3m"], "dimensions": [{"name": "orders.o_orderdate", "grain": "week"}]}, "INCOMPATIBLE_GRAIN"),
         ({"metrics": ["revenue_to_date"]}, "MISSING_TIME_DIMENSION"),
+        ({"metrics": ["revenue_to_date"], "dimensions": [{"name": "orders.o_orderdate", "grain": "month"}, {"name": "orders.o_day", "grain": "week"}]}, "CONFLICTING_TIME_DIMENSION"),
+        ({"metrics": ["revenue"], "filters": [{"not": {"field": "revenue", "op": "gt", "values": ["1"]}}]}, "INVALID_FILTER"),
+        ({"metrics": ["revenue"], "filters": [{"not": {"field": "orders.o_orderdate", "op": "gt", "values": ["1997-01-01"]}}]}, "INVALID_FILTER"),
+        ({"metrics": ["quantity_per_order"], "filters": [{"not": {"field": "orders.o_orderstatus", "op": "eq", "values": ["O"]}}]}, "UNSUPPORTED_FILTER"),
+        ({"metrics": ["conversions"], "filters": [{"not": {"field": "events.user_id", "op": "eq", "values": ["1"]}}]}, "UNSUPPORTED_FILTER"),
+        ({"metrics": ["revenue"], "dimensions": ["customer.c_mktsegment"], "filters": [{"exists": {"relationship": "order_customer"}}]}, "INVALID_EXISTS"),
+        ({"metrics": ["event_count"], "filters": [{"exists": {"relationship": "event_tier"}}]}, "INVALID_EXISTS"),
+        ({"metrics": ["last_value"], "filters": [{"exists": {"relationship": "event_tier"}}]}, "INVALID_EXISTS"),
         ({"metrics": ["conversions"], "dimensions": ["orders.o_orderstatus"]}, "INVALID_CONVERSION"),
         ({"metrics": ["revenue"], "dimensions": ["orders.o_orderstatus"], "intent": "distinct_values"}, "INVALID_INTENT"),
     ],
