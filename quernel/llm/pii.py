@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a bootstrapped search for identifiers in the same contexts.
 
-The fixed patterns give the seeds. The words beside a seed are a lexical pattern, and every token that has the
-shape of an identifier is an instance of the patterns it stands in. Rounds over this graph score
+The fixed patterns give the seeds. The words beside a seed, both or one of them, are lexical patterns, and every
+stretch of words that has the shape of an identifier is an instance of those it stands in. Rounds over this graph score
 patterns by the share of their distinct instances that are known and the number of those, then
 instances by the patterns that hold them; what scores high enough is known in the next round. All
 of it is built-in functions: places of matches follow from the lengths of matches and gaps.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.common import cut
@@ -27,6 +27,10 @@ PATTERNS = {
 }
 #: Texts without these have no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: What candidates are cut from: words with an at sign, and runs of words of digits and marks.
+_NUMBER = r"[^\x20\x09-\x0D0-9A-Za-z@]*+[0-9][^\x20\x09-\x0DA-Za-z@]*+(?![^\x20\x09-\x0D])"
+RUN = rf"(?<![^\x20\x09-\x0D])(?:(?=[^\x20\x09-\x0D@]*+@)[^\x20\x09-\x0D]++|{_NUMBER}(?:\x20[\x20().-]*+{_NUMBER})*+)"
+MOST_WORDS = 19
 CONTEXT = 48
 ROUNDS = 3
 MIN_KNOWN = 3
@@ -92,45 +96,74 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def shape(x: Column) -> Column:
-    """The kind an identifier-like token may be, by its form alone; null for none."""
-    bare = F.regexp_replace(x, r"^[^0-9A-Za-z+]+|[^0-9A-Za-z]+$", "")
-    numeric = bare.rlike(r"^[+]?[0-9][0-9().-]*$")
-    n = F.char_length(_digits(bare))
+    """The kind an identifier-like candidate may be, by its form alone; null for none."""
+    numeric = x.rlike(r"^[+(]*[0-9][\x20().0-9-]*$")
+    n = F.char_length(_digits(x))
     return (
-        F.when(bare.rlike(r"^[^@]+@[^@]+$"), 0)
-        .when(bare.rlike(r"^[0-9]{1,3}(?:[.-][0-9]{1,3}){3}$"), 1)
+        F.when(x.rlike(r"^[^@]+@[^@]+$"), 0)
+        .when(x.rlike(r"^[0-9]{1,3}(?:[.-][0-9]{1,3}){3}$"), 1)
         .when(numeric & n.between(12, 19), 2)
         .when(numeric & n.between(7, 11), 3)
     )
 
 
+def candidates(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, base, s): what has a shape and touches no base span, each with the text beside it.
+
+    Runs of numeric words with blanks, dots, hyphens and brackets between them are taken apart
+    again: every stretch of whole words is a candidate of its own, so a number beside an identifier
+    hides nothing. A shape has 19 digits at most and a word one at least, so stretches are few.
+    Marks around a candidate are left out, but for a bracket that is closed in it.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    may = text.rlike(r"@|[0-9](?:[^0-9A-Za-z]*+[0-9]){3}")
+    runs = found.filter(may).select(*key, "base", F.explode(matches(text, RUN, -1, lambda x: x.contains("@") | (F.char_length(_digits(x)) >= 4))).alias("r"))
+    words = matches(F.col("r.value"), r"[^\x20]++", -1, lambda x: x.rlike("[0-9@]"))
+    firsts = runs.withColumn("_words", words).select("*", F.posexplode("_words").alias("_i", "_a"))
+    pairs = firsts.select(*key, "base", "r", "_a", F.explode(F.slice("_words", F.col("_i") + 1, F.lit(MOST_WORDS))).alias("_b"))
+    raw = F.substring(F.col("r.value"), F.col("_a.start") + 1, F.col("_b.stop") - F.col("_a.start"))
+    core = pairs.withColumn("_core", F.regexp_replace(raw, r"[^0-9A-Za-z]+$", ""))
+    core = core.withColumn("_lead", F.char_length(F.regexp_extract("_core", r"^[^0-9A-Za-z+(]*(?:\((?!.*\)))?", 0)))
+    core = core.withColumn("_value", F.substring(F.col("_core"), F.col("_lead") + 1, F.char_length("_core")))
+    core = core.withColumn("_kind", shape(F.col("_value"))).filter(F.col("_kind").isNotNull())
+    core = core.withColumn("_at", F.col("_a.start") + F.col("_lead"))
+    around, place = F.concat("r.left", "r.value", "r.right"), F.char_length("r.left") + F.col("_at")
+    start = F.col("r.start") + F.col("_at")
+    size = F.char_length("_value")
+    left, right = F.right(F.substring(around, F.lit(1), place), F.lit(CONTEXT)), F.substring(around, place + size + 1, F.lit(CONTEXT))
+    span = F.struct(start.alias("start"), F.col("_kind").alias("kind"), (start + size).alias("stop"), F.col("_value").alias("value"), left.alias("left"), right.alias("right"))
+    return core.select(*key, "base", span.alias("s")).filter(~F.exists("base", lambda b: (b["start"] < F.col("s.stop")) & (F.col("s.start") < b["stop"])))
+
+
 def _beside(left: Column, right: Column) -> tuple[Column, Column]:
-    a = F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
-    b = F.lower(F.regexp_extract(right, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
-    return a, b
+    """The words beside a place, past marks that cling to it; numbers are no words."""
+    a = F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D0-9A-Za-z]*$", 1))
+    b = F.lower(F.regexp_extract(right, r"^[^\x20\x09-\x0D0-9A-Za-z]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
+    return tuple(F.when(x.rlike(r"^[^\p{L}]*[0-9][^\p{L}]*$"), "").otherwise(x) for x in (a, b))
+
+
+def contexts(a: Column, b: Column) -> Column:
+    """The patterns of a place: both words beside it, the left one, the right one."""
+    left = F.when(a != "", F.concat(a, F.lit(" _")))
+    right = F.when(b != "", F.concat(F.lit("_ "), b))
+    return F.array_compact(F.array(F.when((a != "") & (b != ""), F.concat(a, F.lit(" _ "), b)), left, right))
 
 
 def _patterns(rows: DataFrame) -> DataFrame:
-    """Edges (kind, pattern, entity): both words beside an entity, or its left word if that is a label (ends with a colon)."""
-    a, b = _beside(F.col("left"), F.col("right"))
-    both = F.when((a != "") & (b != ""), F.concat(a, F.lit(" _ "), b))
-    label = F.when(a.rlike(r"[\p{L}][:=]$"), F.concat(a, F.lit(" _")))
-    return rows.withColumn("pattern", F.explode(F.array_compact(F.array(both, label))))
+    """A row for each pattern that an entity's place has."""
+    return rows.withColumn("pattern", F.explode(contexts(*_beside(F.col("left"), F.col("right")))))
 
 
 def discover(found: DataFrame, key: list[str], rounds: int = ROUNDS, min_known: int = MIN_KNOWN, min_share: float = MIN_SHARE, min_score: float = MIN_SCORE) -> DataFrame:
-    """Spans (key, span) that the method adds to documents with `base` spans.
+    """Spans (key, span) that the method adds to documents with `base` spans; none lies within another.
 
     A pattern counts only with `min_known` known distinct entities that are `min_share` of all it
     holds; an entity's score is 1 less the product of what its patterns leave open. Copies of a
     document add no evidence, as entities are counted once each.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     seeds = found.filter(F.size("base") > 0).select(*key, F.explode("base").alias("s"), F.lit(True).alias("seed"))
-    may = text.rlike(r"@|[0-9][0-9().-]{5}")
-    tokens = F.filter(matches(text, r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]++", -1, lambda x: shape(x).isNotNull()), lambda t: ~F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    others = found.filter(may).select(*key, F.explode(tokens).alias("s"), F.lit(False).alias("seed"))
-    rows = seeds.unionByName(others).select(*key, "seed", F.when(F.col("seed"), F.col("s.kind")).otherwise(shape(F.col("s.value"))).alias("kind"), "s.start", "s.stop", F.lower("s.value").alias("entity"), "s.left", "s.right")
+    others = candidates(found, key).select(*key, "s", F.lit(False).alias("seed"))
+    rows = seeds.unionByName(others).select(*key, "seed", "s.kind", "s.start", "s.stop", F.lower("s.value").alias("entity"), "s.left", "s.right")
     rows = cut(_patterns(rows).drop("left", "right"))
     edges = cut(rows.groupBy("kind", "pattern", "entity").agg(F.max("seed").alias("known")))
     kinds = edges.filter(~F.col("known")).limit(1).count()
@@ -145,7 +178,9 @@ def discover(found: DataFrame, key: list[str], rounds: int = ROUNDS, min_known:
         new = held.groupBy("kind", "entity").agg((1 - open_).alias("score")).filter(F.col("score") >= min_score).select("kind", "entity", F.lit(True).alias("_new"))
         edges = cut(edges.join(new, ["kind", "entity"], "left").withColumn("known", F.col("known") | F.coalesce("_new", F.lit(False))).drop("_new"))
     entities = edges.filter("known").select("kind", "entity").distinct()
-    return rows.filter(~F.col("seed")).join(entities, ["kind", "entity"], "left_semi").select(*key, "kind", "start", "stop").distinct()
+    spans = rows.filter(~F.col("seed")).join(entities, ["kind", "entity"], "left_semi").select(*key, "kind", "start", "stop").distinct()
+    before = Window.partitionBy(*key).orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("_reach", F.max("stop").over(before)).filter(F.col("_reach").isNull() | (F.col("stop") > F.col("_reach"))).drop("_reach")
 
 
 def find(docs: DataFrame, **options) -> DataFrame:

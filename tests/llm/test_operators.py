@@ -153,6 +153,21 @@ def test_personal_data_of_a_known_context(spark):
     assert found[50] == [(12, 3, 22)] and found[51] == [] and all(len(found[i]) == 1 for i in range(8))
 
 
+def test_personal_data_with_blanks_and_one_sided_contexts(spark):
+    names = ["ann", "bob", "cid", "dan", "eve", "fay", "gus", "hal", "ida", "jon"]
+    known = [(i, f"please dial +1 (555) 010-{4000 + i} today or write") for i in range(10)]
+    known += [(20 + i, f"then ring +1 (555) 011-{4000 + i} {n} said") for i, n in enumerate(names)]
+    known += [(40 + i, f"{n} has 4111 1111 1111 {x} expired") for i, (n, x) in enumerate(zip(names, ["1111", "1129", "1137", "1145", "1152", "1160", "1178", "1186", "1194", "1202"], strict=True))]
+    unseen = {
+        100: ("dial (555) 010-9999 today", [(5, 3, 19)]), 101: ("dial 555 010 9999 today.", [(5, 3, 17)]), 102: ("we ring 555.010.9998 twice", [(8, 3, 20)]),
+        103: ("kim has 4303 6245 6212 1775 expired", [(8, 2, 27)]), 104: ("dial 555 010 9997 12 times", [(5, 3, 17)]), 105: ("form 555 010 9996 of may", []),
+    }
+    data = [*known, *((k, t) for k, (t, _) in unseen.items())]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(len(found[i].base) == 1 for i, _ in known)
+    assert {k: [tuple(s) for s in found[k].spans] for k in unseen} == {k: spans for k, (_, spans) in unseen.items()}
+
+
 def test_counts(docs, empty, rows):
     encode = tokens.encoder()
     texts = {r[0]: r[1] or "" for r in rows}
