@@ -2,8 +2,7 @@
 
 The fixed patterns give the seeds. The words beside a seed, both or one of them, are lexical patterns, and every
 stretch of words that has the shape of an identifier is an instance of those it stands in. Rounds over this graph score
-patterns by the share of their distinct instances that are known and the number of those, then
-instances by the patterns that hold them; what scores high enough is known in the next round. All
+patterns by their distinct known instances against what else stands in them, then instances by the patterns that hold them; what scores high enough is known in the next round. All
 of it is built-in functions: places of matches follow from the lengths of matches and gaps.
 """
 
@@ -31,6 +30,10 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _NUMBER = r"[^\x20\x09-\x0D0-9A-Za-z@]*+[0-9][^\x20\x09-\x0DA-Za-z@]*+(?![^\x20\x09-\x0D])"
 RUN = rf"(?<![^\x20\x09-\x0D])(?:(?=[^\x20\x09-\x0D@]*+@)[^\x20\x09-\x0D]++|{_NUMBER}(?:\x20[\x20().-]*+{_NUMBER})*+)"
 MOST_WORDS = 19
+#: Stands for a span in a text whose other words are counted; no word holds it.
+MARK = "\x00"
+#: Patterns that are asked about, up to so many, go to each executor whole.
+BROADCAST = 1 << 18
 CONTEXT = 48
 ROUNDS = 3
 MIN_KNOWN = 3
@@ -154,24 +157,47 @@ def _patterns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", F.explode(contexts(*_beside(F.col("left"), F.col("right")))))
 
 
+def _fillers(found: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """(pattern, word) of every word of every text that is of no base span and no candidate."""
+    by = others.groupBy(*[F.col(k).alias(f"_by_{k}") for k in key]).agg(F.collect_set(F.struct("s.start", "s.stop")).alias("_others"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in key])
+    own = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    spans = F.sort_array(F.concat(own, F.coalesce("_others", F.array().cast("array<struct<start:int,stop:int>>"))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = found.join(by, on, "left").select(F.split(F.lower(_marked(text, spans, lambda s: F.lit(MARK))), r"[\x20\x09-\x0D]+").alias("w"))
+    # the words before, the words and the words after, place by place; the ends of a text are empty
+    places = F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("a"), F.col("w").alias("w"), F.concat(F.slice("w", F.lit(2), F.size("w")), F.array(F.lit(""))).alias("b"))
+    each = words.select(F.explode(places).alias("p")).select("p.*").filter((F.col("w") != "") & ~F.contains("w", F.lit(MARK)))
+    return each.select("w", F.explode(contexts(F.col("a"), F.col("b"))).alias("pattern"))
+
+
 def discover(found: DataFrame, key: list[str], rounds: int = ROUNDS, min_known: int = MIN_KNOWN, min_share: float = MIN_SHARE, min_score: float = MIN_SCORE) -> DataFrame:
     """Spans (key, span) that the method adds to documents with `base` spans; none lies within another.
 
-    A pattern counts only with `min_known` known distinct entities that are `min_share` of all it
-    holds; an entity's score is 1 less the product of what its patterns leave open. Copies of a
-    document add no evidence, as entities are counted once each.
+    A pattern counts only with `min_known` known distinct entities that are `min_share` of these and
+    of what speaks against it: known entities of other kinds, and other words in the same place.
+    Candidates that are not known yet speak neither for nor against it. An entity's score is 1 less
+    the product of what its patterns leave open. Copies of a document add no evidence, as entities
+    and words are counted once each.
     """
     seeds = found.filter(F.size("base") > 0).select(*key, F.explode("base").alias("s"), F.lit(True).alias("seed"))
-    others = candidates(found, key).select(*key, "s", F.lit(False).alias("seed"))
+    others = cut(candidates(found, key).select(*key, "s", F.lit(False).alias("seed")))
     rows = seeds.unionByName(others).select(*key, "seed", "s.kind", "s.start", "s.stop", F.lower("s.value").alias("entity"), "s.left", "s.right")
     rows = cut(_patterns(rows).drop("left", "right"))
     edges = cut(rows.groupBy("kind", "pattern", "entity").agg(F.max("seed").alias("known")))
-    kinds = edges.filter(~F.col("known")).limit(1).count()
-    if not kinds:
+    # only patterns that hold something unknown, and may come to hold enough that is known, matter in any round
+    held = edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("known")).alias("n_open"))
+    asked = cut(held.filter((F.col("n_open") > 0) & (F.col("n") >= min_known)).select("pattern").distinct())
+    n_asked = asked.count()
+    if not n_asked:
         return rows.filter(F.lit(False)).select(*key, "kind", "start", "stop")
+    asked = F.broadcast(asked) if n_asked <= BROADCAST else asked
+    edges = cut(edges.join(asked, "pattern", "left_semi"))
+    plain = cut(_fillers(found, others, key).join(asked, "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n_plain")))
     for _ in range(rounds):
-        share = F.avg(F.col("known").cast("double"))
-        scored = edges.groupBy("kind", "pattern").agg(share.alias("share"), F.count_if("known").alias("n_known"))
+        known = edges.groupBy("kind", "pattern").agg(F.count_if("known").alias("n_known"))
+        whole = known.groupBy("pattern").agg(F.sum("n_known").alias("n_all")).join(plain, "pattern", "left")
+        scored = known.join(whole, "pattern").withColumn("share", F.col("n_known") / (F.col("n_all") + F.coalesce("n_plain", F.lit(0))))
         good = scored.filter((F.col("n_known") >= min_known) & (F.col("share") >= min_share))
         held = edges.filter(~F.col("known")).join(good.select("kind", "pattern", "share"), ["kind", "pattern"])
         open_ = F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-6)))))
@@ -201,15 +227,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with a mark such as <EMAIL> for each span; spans that overlap become one, marked as the first."""
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+def _marked(text: Column, spans: Column, mark) -> Column:
+    """The text with mark(span) for each of the sorted spans; spans that overlap become one, marked as the first."""
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(gap, F.get(names, s["kind"])))).otherwise(acc["parts"])
+        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(gap, mark(s)))).otherwise(acc["parts"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), parts.alias("parts"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redact(text: Column, spans: Column) -> Column:
+    """The text with a mark such as <EMAIL> for each span."""
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    return _marked(text, spans, lambda s: F.get(names, s["kind"]))

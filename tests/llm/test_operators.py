@@ -168,6 +168,19 @@ def test_personal_data_with_blanks_and_one_sided_contexts(spark):
     assert {k: [tuple(s) for s in found[k].spans] for k in unseen} == {k: spans for k, (_, spans) in unseen.items()}
 
 
+def test_personal_data_in_contexts_with_more_unseen_than_known(spark):
+    data = [(i, f"please dial +1 (555) 010-{4000 + i} today or write") for i in range(3)]
+    data += [(100 + i, f"please dial 555010{6000 + i} today or write") for i in range(8)]
+    # the same with words in the place of identifiers: of no kind, so they speak against the context
+    data += [(200 + i, f"now call +1 (555) 011-{4000 + i} again or write") for i in range(3)]
+    data += [(300 + i, f"now call {w} again or write") for i, w in enumerate(("5550119999", "me", "him", "us"))]
+    # and with known identifiers of another kind
+    data += [(400 + i, f"contact +1 (555) 012-{4000 + i} soon or write") for i in range(3)] + [(410 + i, f"contact a{i}@b.org soon or write") for i in range(3)] + [(420, "contact 5550129999 soon or write")]
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(found[100 + i] == [(12, 3, 22)] for i in range(8))
+    assert all(found[i] == [] for i in (300, 301, 302, 303, 420))
+
+
 def test_counts(docs, empty, rows):
     encode = tokens.encoder()
     texts = {r[0]: r[1] or "" for r in rows}
