@@ -34,6 +34,8 @@ MOST_WORDS = 19
 MARK = "\x00"
 #: Patterns that are asked about, up to so many, go to each executor whole.
 BROADCAST = 1 << 18
+#: Contexts are held against one text of so many, then one of fewer, and what is left against all.
+PARTS = (64, 8, 1)
 CONTEXT = 48
 ROUNDS = 3
 MIN_KNOWN = 3
@@ -187,13 +189,18 @@ def discover(found: DataFrame, key: list[str], rounds: int = ROUNDS, min_known:
     edges = cut(rows.groupBy("kind", "pattern", "entity").agg(F.max("seed").alias("known")))
     # only patterns that hold something unknown, and may come to hold enough that is known, matter in any round
     held = edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("known")).alias("n_open"))
-    asked = cut(held.filter((F.col("n_open") > 0) & (F.col("n") >= min_known)).select("pattern").distinct())
-    n_asked = asked.count()
-    if not n_asked:
-        return rows.filter(F.lit(False)).select(*key, "kind", "start", "stop")
-    asked = F.broadcast(asked) if n_asked <= BROADCAST else asked
-    edges = cut(edges.join(asked, "pattern", "left_semi"))
-    plain = cut(_fillers(found, others, key).join(asked, "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n_plain")))
+    held = held.filter(F.col("n_open") > 0).groupBy("pattern").agg(F.max("n").alias("most")).filter(F.col("most") >= min_known)
+    asked, plain = cut(held), None
+    for part in PARTS:  # what is refuted by a part of the texts, were all it holds known, is refuted by all of them
+        n_asked = asked.count()
+        if not n_asked:
+            return rows.filter(F.lit(False)).select(*key, "kind", "start", "stop")
+        small = F.broadcast(asked.select("pattern")) if n_asked <= BROADCAST else asked.select("pattern")
+        texts = found.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+        plain = cut(_fillers(texts, others, key).join(small, "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n_plain")))
+        asked = asked.join(plain, "pattern", "left").filter(F.col("most") >= min_share * (F.col("most") + F.coalesce("n_plain", F.lit(0))))
+        asked = cut(asked.select("pattern", "most"))
+    edges = cut(edges.join(asked.select("pattern"), "pattern", "left_semi"))
     for _ in range(rounds):
         known = edges.groupBy("kind", "pattern").agg(F.count_if("known").alias("n_known"))
         whole = known.groupBy("pattern").agg(F.sum("n_known").alias("n_all")).join(plain, "pattern", "left")
