@@ -72,15 +72,15 @@ def plain(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
-def derivatives(records: DataFrame, title_chars: int = 1000) -> DataFrame:
+def derivatives(records: DataFrame) -> DataFrame:
     """Two rows per response: metadata (application/warc-fields) and conversion (text/plain).
 
-    Records of other types have none. An empty payload gives an empty conversion and metadata with
+    Titles are whole. Records of other types have none. An empty payload gives an empty conversion and metadata with
     empty fields. Repeated responses give repeated derivatives with the same ids.
     """
     body = records.filter(F.col("warc_type") == "response").withColumn("_html", payload(F.col("block")))
     body = body.withColumn("_text", plain(F.col("_html")))
-    title = F.left(F.regexp_replace(F.regexp_extract("_html", r"(?is)<title[^<>]*>(.*?)</title", 1), r"[\r\n]+", " "), F.lit(title_chars))
+    title = F.regexp_replace(F.regexp_extract("_html", r"(?is)<title[^<>]*>(.*?)</title", 1), r"[\r\n]+", " ")
     lang = F.regexp_extract("_html", r"""(?i)<html[^<>]*\slang=["']?([A-Za-z-]+)""", 1)
     meta, conv = (urn(F.concat_ws("|", F.lit(kind), "record_id", "payload_digest")) for kind in ("metadata", "conversion"))
     fields = F.concat_ws(

@@ -390,6 +390,13 @@ def test_warc(spark):
     assert Counter((b.record_id, bytes(b.block).decode()) for b in back) == Counter((r.record_id, r.content) for r in got)
 
 
+def test_warc_titles_are_whole(spark):
+    title = "é word " * 300 + "end"
+    pages = spark.createDataFrame([(1, "u", f"<title>{title}</title>x")], "page_id long, url string, html string")
+    meta = warc.derivatives(warc.responses(pages)).filter("warc_type = 'metadata'").first()
+    assert meta.content.startswith(f"title: {title}\r\n") and meta.content_length == len(meta.content.encode())
+
+
 def test_pipeline_keeps_ids_and_packs(spark, docs, tmp_path):
     import corpus_pipeline
 
