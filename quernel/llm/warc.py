@@ -9,6 +9,7 @@ that a rerun gives the same ids. `parse` reads WARC bytes to such rows and `seri
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 from collections.abc import Iterator
 
@@ -56,7 +57,9 @@ def payload(block: Column) -> Column:
     """An HTTP response's body, as text."""
     text = block.cast("string")
     end = F.locate(CRLF * 2, text)
-    return F.when(end > 0, F.substring(text, end + 4, F.char_length(text))).otherwise(text)
+    bare = F.when(text.startswith("HTTP/"), F.locate("\n\n", text)).otherwise(0)  # a header whose lines end with LF alone
+    body = F.when((bare > 0) & ((end == 0) | (bare < end)), F.substring(text, bare + 2, F.char_length(text)))
+    return body.when(end > 0, F.substring(text, end + 4, F.char_length(text))).otherwise(text)
 
 
 def plain(html: Column) -> Column:
@@ -76,7 +79,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     """Two rows per response: metadata (application/warc-fields) and conversion (text/plain).
 
     Titles are whole. Records of other types have none. An empty payload gives an empty conversion and metadata with
-    empty fields. Repeated responses give repeated derivatives with the same ids.
+    empty fields. Records of `parse` carry the source's WARC and HTTP header fields into the metadata;
+    those of `responses` have no others than the content type. Repeated responses give repeated derivatives with the same ids.
     """
     body = records.filter(F.col("warc_type") == "response").withColumn("_html", payload(F.col("block")))
     body = body.withColumn("_text", plain(F.col("_html")))
@@ -91,6 +95,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         F.concat(F.lit("source-payload-digest: "), F.col("payload_digest")),
         F.concat(F.lit("conversion-digest: "), digest(F.col("_text"))),
         F.concat(F.lit("conversion-length: "), F.octet_length("_text").cast("string")),
+        *(["source_headers"] if "source_headers" in records.columns else []),
         F.lit(""),
     )
 
@@ -133,17 +138,56 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-RECORDS = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, fields map<string,string>, block binary"
+def http_parts(block: bytes) -> tuple[str | None, list[tuple[str, str]], bytes]:
+    """(status line, header fields by lower-case name, body) of an HTTP response; other blocks are all body.
+
+    Folded lines are joined; repeated fields stay repeated. Lines end with CRLF or LF.
+    """
+    if not block.startswith(b"HTTP/"):
+        return None, [], block
+    ends = [(at, size) for at, size in ((block.find(b"\r\n\r\n"), 4), (block.find(b"\n\n"), 2)) if at >= 0]
+    at, size = min(ends, default=(len(block), 0))
+    status, *lines = block[:at].decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    fields: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1] = (fields[-1][0], f"{fields[-1][1]} {line.strip()}")
+        elif line.strip():
+            name, _, value = line.partition(":")
+            fields.append((name.strip().lower(), value.strip()))
+    return status.strip(), fields, block[at + size :]
+
+
+def _row(fields: dict[str, str], block: bytes) -> tuple:
+    status, http, body = http_parts(block)
+    own = {name: value for name, value in reversed(http)}  # of repeated fields the first
+    payload_type = own.get("content-type") or fields.get("warc-identified-payload-type") or (fields.get("content-type") if status is None else None)
+    payload_digest = fields.get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()
+    source = [f"source-warc-{name}: {value}" for name, value in fields.items()]
+    source += [f"source-http-status: {status}"] if status else []
+    source += [f"source-http-{name}: {value}" for name, value in http]
+    own_fields = [fields.get(f"warc-{x}") for x in ("type", "record-id", "refers-to", "target-uri", "date")]
+    return None, *own_fields, payload_type, payload_digest, source, list(fields.items()), block
+
+
+RECORDS = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_type string, payload_digest string, source_headers array<string>, fields map<string,string>, block binary"
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Records of the bytes in a column `content`, as spark.read.format("binaryFile") gives them."""
+    """Records of the bytes in a column `content`, as spark.read.format("binaryFile") gives them.
+
+    They are what derivatives() takes. payload_type is the HTTP header's content type, or what the
+    WARC says of the payload; payload_digest is the WARC's own, or that of the payload's bytes.
+    source_headers are lines of the WARC and HTTP header fields. There are no page ids.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())]
+        text = pa.string()
+        kinds = [("page_id", pa.int64()), *[(x, text) for x in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "payload_type", "payload_digest")]]
+        kinds += [("source_headers", pa.list_(text)), ("fields", pa.map_(text, text)), ("block", pa.binary())]
         for batch in batches:
             for content in batch.column(0):
-                rows = [(f.get("warc-type"), f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-date"), list(f.items()), b) for f, b in read_records(content.as_py() or b"")]
+                rows = [_row(f, b) for f, b in read_records(content.as_py() or b"")]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 

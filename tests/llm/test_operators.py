@@ -397,6 +397,28 @@ def test_warc_titles_are_whole(spark):
     assert meta.content.startswith(f"title: {title}\r\n") and meta.content_length == len(meta.content.encode())
 
 
+def test_warc_bytes_with_responses(spark):
+    html = b"<html lang=en><title>T</title><p>One &amp; two</html>"
+    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=ascii\r\nX-A: 1\r\n 2\r\nX-A: 3\r\n\r\n"
+
+    def record(kind, block, *more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Target-URI: http://a.b/", "WARC-Date: 2020-01-02T03:04:05Z", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    data = record("warcinfo", b"a: b") + record("response", http + html, "WARC-Payload-Digest: sha1:ABC", "WARC-IP-Address: 1.2.3.4") + record("response", html)
+    data += record("response", http.replace(b"\r\n", b"\n") + html)
+    out = warc.derivatives(warc.parse(spark.createDataFrame([(data,)], "content binary")))
+    got = out.collect()
+    assert Counter(r.warc_type for r in got) == {"metadata": 3, "conversion": 3}
+    assert {r.content for r in got if r.warc_type == "conversion"} == {"T\nOne & two"}
+    own = "sha256:" + hashlib.sha256(html).hexdigest()
+    assert Counter((r.target_uri, r.warc_date, r.refers_to) for r in got) == {("http://a.b/", "2020-01-02T03:04:05Z", "<urn:uuid:1>"): 6}
+    assert Counter((r.source_content_type, r.source_payload_digest) for r in got) == {("text/html; charset=ascii", "sha1:ABC"): 2, (None, own): 2, ("text/html; charset=ascii", own): 2}
+    lines = next(r.content for r in got if r.warc_type == "metadata" and r.source_payload_digest == "sha1:ABC").split("\r\n")
+    assert {"source-http-status: HTTP/1.1 404 Not Found", "source-http-x-a: 1 2", "source-http-x-a: 3", "source-warc-warc-ip-address: 1.2.3.4", "source-content-type: text/html; charset=ascii"} <= set(lines)
+    assert warc.parse(warc.serialize(out).select(F.col("warc").alias("content"))).count() == 6
+
+
 def test_pipeline_keeps_ids_and_packs(spark, docs, tmp_path):
     import corpus_pipeline
 
