@@ -433,3 +433,30 @@ def test_pipeline_keeps_ids_and_packs(spark, docs, tmp_path):
         out.write.parquet(str(tmp_path / name))
         before, at = at, spark.read.parquet(str(tmp_path / name))
     assert {r.doc_id for r in at.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_pipeline_treats_rows_without_ids_and_with_one_id_alike(spark):
+    import corpus_pipeline
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    english, german = "the quick brown fox jumps over the lazy dog and runs away ", "der schnelle braune fuchs springt über den faulen hund und läuft "
+    known = [(i, (english, german)[i % 2] * 5, ("en", "de")[i % 2], "s", 1) for i in range(40)]
+    lost = [(None, english * 6, "en", "s", 1), (None, german * 6, None, "s", 1), (None, "12 34", "en", "s", 1), (3, "12 34", "de", "s", 1)]
+    got = corpus_pipeline.language_stage(spark, frame(known + lost), "").collect()
+    assert Counter((r.doc_id, r.text, r.lang) for r in got) == Counter((i, t, la) for i, t, la, *_ in known) + Counter({(None, english * 6, "en"): 1, (None, german * 6, "de"): 1})
+
+    a, b, c = (_sentence(k, 60) for k in (70, 71, 72))
+    rows = [(5, a, "en", "s", 1), (5, a, "en", "s", 1), (7, a + " more", "en", "s", 1), (7, b, "en", "s", 1), (6, b + " more", "en", "s", 1), (None, c, "en", "s", 1), (None, c + " more", "en", None, 1), (None, c, "en", "s", 1), (None, b, "en", "s", 1)]
+    got = corpus_pipeline.near_duplicate_stage(spark, frame(rows), "").collect()
+    assert len(got) == 3 and {(r.doc_id, r.text) for r in got} >= {(5, a), (6, b + " more")}
+    assert sum(r.doc_id is None and r.text.startswith(c) for r in got) == 1
+
+    many = [(i // 3 if i % 5 else None, f"w{i} " * (1 + i % 9), "en", "s" if i % 4 else None, 1) for i in range(600)]
+    many += many[:50]
+    taken = {r.source: r.target for r in mixing.mix(frame(many)).collect()}
+    got = corpus_pipeline.mixture_stage(spark, frame(many), "").collect()
+    for source, target in taken.items():
+        assert abs(sum(len(r.text.split()) for r in got if r.source == source) - target) < 30
+    assert any(r.doc_id is None for r in got) and all(k <= 2 * Counter(map(tuple, many))[r] for r, k in Counter(map(tuple, got)).items())
