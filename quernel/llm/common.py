@@ -1,9 +1,10 @@
-"""What the operators share: shared-folder checkpoints, worker paths and views of Arrow text."""
+"""What the operators share: tables in the shared folder, worker paths and views of Arrow text."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,10 +20,10 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, keeps Arrow batches small, and sees to a checkpoint folder.
+    """Lets Python workers import this package, keeps Arrow batches small, and sees to a shared folder.
 
-    The folder is the one the session names in spark.checkpoint.dir; a temporary one is made only
-    where the session names none, as in tests on one machine.
+    The folder is the one the session names in spark.checkpoint.dir. Where it names none, a
+    temporary one is made if the session runs on one machine; a cluster's has to be named.
     """
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
@@ -31,14 +32,36 @@ def ready(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{ready(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A copy in the shared checkpoint folder, without lineage."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A copy as a table in the shared folder, without lineage.
+
+    Unlike a checkpoint it is compressed and keeps no constraints, which grow with each join of a
+    loop. `drop` removes it; a table that a result still reads stays for as long as the folder does.
+    """
+    path = shared(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Removes the tables of `cut` that no plan reads any more."""
+    for df in frames:
+        if path := getattr(df, "cut_path", None):
+            there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import cut
+from quernel.llm.common import cut, drop
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -22,12 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = cut(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        lowest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = cut(both.filter(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
-        edges = cut(ends.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        mark, before = _mark(edges), mark
+        after = cut(ends.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        drop(edges, large)
+        edges, mark, before = after, _mark(after), mark
         if mark == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

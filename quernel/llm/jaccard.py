@@ -12,12 +12,16 @@ come first in a common order of all tokens (one fifth of a set, rounded up), so
 block, and every link lies within a block. The order puts tokens of busy buckets of a corpus-wide
 count last, which keeps blocks of common passages out. Equal sets are one class before any of this.
 
-Only the components of the link graph are asked for, so pairs are not expanded within groups:
-first each member of a block is held against the block's least member, and what is verified is
-contracted; then, in blocks that still hold several components, the tree searches pairs between
-components. No pair of different components goes unseen, so no link between components is lost. A
-block's token is the first that a pair shares in one of its blocks, so there the tokens that come
-after it bound the overlap as well; of blocks with the same members only the first is searched.
+Only the components of the link graph are asked for, so pairs are not expanded within groups. First
+each member of a block is held against the block's centre, the member that shares the most of its
+first tokens with others: copies that differ in places of their own meet in the text they were
+made from. What is verified is contracted. Blocks that still hold several components are searched
+in rounds: each member names its few nearest members of other components that all bounds leave
+open, these are verified, linked components are contracted, refuted pairs are remembered, and the
+number a member may name grows from round to round. The rounds end when no member had to leave any out and
+nothing is open, so no pair of different components goes unseen and no link between components is
+lost. A block's token is the first that a pair shares in one of its blocks, so there the tokens
+that come after it bound the overlap as well; of blocks with the same members only the first is searched.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import byte_chunks, cut, release
+from quernel.llm.common import byte_chunks, cut, drop, release
 from quernel.llm.graph import components
 
 SHINGLE = 5
@@ -42,10 +46,14 @@ GROUPS = 64
 MOST_GROUPS = 1 << 14
 SKETCH_BITS = 20
 _PARTS = 64
+#: Tasks' partial counts that one group sums.
+_FAN_IN = 64
 LEAF = 16
 #: Larger blocks are dealt to cells of two such tiles each.
 TILE_ROWS = 2000
-_FULL = 65535
+#: Members of other components that a member names in the first round, and how that grows.
+NAMED, GROWTH = 4, 8
+_FULL = 255
 
 _MULT, _MULT_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -153,18 +161,22 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _busy(rows: DataFrame) -> np.ndarray:
-    """Bucket counts of all tasks, summed by parts; 4 MB whatever the corpus."""
+    """Bucket counts of all tasks, summed by parts in a tree of `_FAN_IN` branches; 4 MB whatever the corpus."""
 
     def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in part["counts"])
-        return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, (1 << 31) - 1).astype(np.uint32).tobytes()]})
-
-    parts = rows.filter(F.col("part").isNotNull()).select("part", "counts")
-    # first by task groups, so that no one reads a part of every task
-    some = parts.withColumn("_task", F.spark_partition_id() % 16).groupBy("part", "_task").applyInPandas(lambda k, p: add(k, p), "part int, counts binary")
+        return pd.DataFrame({"part": [key[0]], "task": [key[1]], "counts": [np.minimum(total, (1 << 31) - 1).astype(np.uint32).tobytes()]})
+
+    some = rows.filter(F.col("part").isNotNull()).select("part", F.spark_partition_id().alias("task"), "counts")
+    most = some.agg(F.max("task")).first()[0] or 0
+    while True:
+        some = some.withColumn("task", F.floor(F.col("task") / _FAN_IN).cast("int")).groupBy("part", "task").applyInPandas(add, "part int, task int, counts binary")
+        if most < _FAN_IN:
+            break
+        most //= _FAN_IN
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     step = len(out) // _PARTS
-    for row in some.groupBy("part").applyInPandas(add, "part int, counts binary").toLocalIterator():
+    for row in some.toLocalIterator():
         out[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["counts"], np.uint32)
     return out
 
@@ -181,18 +193,21 @@ def first_tokens(tokens: np.ndarray, bounds: np.ndarray, busy: np.ndarray, perce
 
 
 def groups_of(n: int) -> int:
-    """Groups of a set of n: a power of two, so that a group has two to four tokens in large sets."""
-    return min(max(GROUPS, 1 << max(0, (n - 1) // 4).bit_length()), MOST_GROUPS)
+    """Groups of a set of n: a power of two, no less than n, so that few tokens share a group by chance."""
+    return min(max(GROUPS, 1 << max(0, n - 1).bit_length()), MOST_GROUPS)
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Group counts of a set; a count beyond what two bytes hold stands for any count."""
+    """Group counts of a set; a count beyond what a byte holds stands for any count."""
     g = groups_of(len(tokens))
-    return np.minimum(np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g), _FULL).astype(np.uint16)
+    return np.minimum(np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g), _FULL).astype(np.uint8)
 
 
 def folded(at: np.ndarray, groups: int) -> np.ndarray:
-    return at if len(at) == groups else np.minimum(at.reshape(-1, groups).sum(axis=0, dtype=np.int64), _FULL).astype(np.uint16)
+    """Points (the last axis) in fewer groups."""
+    if at.shape[-1] == groups:
+        return at
+    return np.minimum(at.reshape(*at.shape[:-1], -1, groups).sum(axis=-2, dtype=np.int64), _FULL).astype(np.uint8)
 
 
 NODES = "node long, n long, point binary, tokens array<long>"
@@ -230,18 +245,41 @@ def needed(n1: Column | int, n2: Column | int, percent: int = PERCENT):
     return (percent * (n1 + n2) + (99 + percent)) // (100 + percent)
 
 
-def may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Row by row: whether the summed coordinate minima reach the overlap needed."""
-    both = np.minimum(p1, p2).astype(np.int64)
-    both[both == _FULL] = 1 << 40
-    return both.sum(axis=-1) >= needed(n1, n2, percent)
+def overlap_bound(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """The summed coordinate minima; groups that are full in both bound nothing."""
+    both = np.minimum(p1, p2)
+    return both.sum(axis=-1, dtype=np.int64) + ((both == _FULL).sum(axis=-1, dtype=np.int64) << 40)
 
 
-def pair_may_link(n1: int, b1: bytes, n2: int, b2: bytes, percent: int = PERCENT) -> bool:
-    """The same for two stored points, in the fewer of their groups."""
-    p1, p2 = np.frombuffer(b1, np.uint16), np.frombuffer(b2, np.uint16)
-    g = min(len(p1), len(p2))
-    return bool(may_link(n1, folded(p1, g), n2, folded(p2, g), percent))
+def may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Row by row: whether the summed coordinate minima reach the overlap needed."""
+    return overlap_bound(p1, p2) >= needed(n1, n2, percent)
+
+
+class Points:
+    """Stored points by number, in blocks of equal length; pairs are compared in the fewer of their groups."""
+
+    def __init__(self, stored: list[bytes]):
+        self.size = np.array([len(x) for x in stored], np.int64)
+        self.place = np.zeros(len(stored), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for g in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == g)
+            self.place[at] = np.arange(len(at))
+            self.of[g] = np.frombuffer(b"".join(stored[k] for k in at), np.uint8).reshape(len(at), g)
+
+    def bounds(self, a: np.ndarray, b: np.ndarray, step: int = 4096) -> np.ndarray:
+        """The overlap bound of each pair of numbers."""
+        out = np.zeros(len(a), np.int64)
+        kinds = self.size[a] << 20 | self.size[b]
+        for kind in np.unique(kinds).tolist():
+            g, h = kind >> 20, kind & ((1 << 20) - 1)
+            rows = np.flatnonzero(kinds == kind)
+            for k in range(0, len(rows), step):
+                at = rows[k : k + step]
+                left, right = self.of[g][self.place[a[at]]], self.of[h][self.place[b[at]]]
+                out[at] = overlap_bound(folded(left, min(g, h)), folded(right, min(g, h)))
+        return out
 
 
 class CountTree:
@@ -265,7 +303,7 @@ class CountTree:
             here = here[(low[here] != component) | (high[here] != component)]
             need = needed(n, np.maximum(least[here], -(-n * percent // 100)), percent)
             here = here[(np.minimum(follow[here], rest) + 1 >= need) & (least[here] * percent <= n * 100)]
-            here = here[may_link(n, at, least[here], tops[here], percent)]
+            here = here[overlap_bound(at, tops[here]) >= needed(n, least[here], percent)]
             if level:
                 here = (here[:, None] * self.leaf + np.arange(self.leaf)).ravel()
                 here = here[here < len(self.levels[level - 1][0])]
@@ -293,7 +331,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("_a")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(shared * 100 >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b").distinct()
+    out = cut(both.filter(shared * 100 >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b").distinct())
+    drop(sets)
+    return out
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -304,40 +344,52 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             c = dict(zip(batch.schema.names, batch.columns, strict=True))
-            keep = [pair_may_link(*x, percent) for x in zip(*[c[k].to_pylist() for k in ("_na", "_pa", "_nb", "_pb")], strict=True)]
-            yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(keep)), c["b"].filter(pa.array(keep))], names=["a", "b"])
+            m, n = batch.num_rows, [c[k].to_numpy(zero_copy_only=False) for k in ("_na", "_nb")]
+            points = Points(c["_pa"].to_pylist() + c["_pb"].to_pylist())
+            keep = pa.array(points.bounds(np.arange(m), np.arange(m) + m) >= needed(*n, percent))
+            yield pa.RecordBatch.from_arrays([c["a"].filter(keep), c["b"].filter(keep)], names=["a", "b"])
 
     return sized.mapInArrow(of, "a long, b long")
 
 
 _CELL = ("token", "i", "j")
+_FOUND = "a long, b long, more boolean"
 
 
-def _cell_pairs(cell: pd.DataFrame, tiles: bool, percent: int) -> list[tuple[int, int]]:
-    node, n, component, tile, rest, stored = (cell[c].to_numpy() for c in ("node", "n", "component", "tile", "rest", "point"))
-    at = np.array([folded(np.frombuffer(x, np.uint16), GROUPS) for x in stored])
-    tree, found = CountTree(n, at, rest, component), []
+def _cell_pairs(cell: pd.DataFrame, named: int, percent: int) -> set[tuple[int, int, bool]]:
+    """(a, b, more) with a < b: each member's `named` nearest of other components, and whether it has more."""
+    node, n, component, tile, rest = (cell[c].to_numpy() for c in ("node", "n", "component", "tile", "rest"))
+    if (component == component[0]).all():
+        return set()
+    stored, tiles = cell["point"].tolist(), cell["i"].iloc[0] != cell["j"].iloc[0]
+    at = np.array([folded(np.frombuffer(x, np.uint8), GROUPS) for x in stored])
+    points, tree, found = Points(stored), CountTree(n, at, rest, component), set()
     for k in range(len(node)):
         near = tree.search(int(n[k]), at[k], int(rest[k]), component[k], percent)
-        near = near[node[near] > node[k]]
         if tiles:
             near = near[tile[near] != tile[k]]
-        found += [(int(node[k]), int(node[x])) for x in near if pair_may_link(int(n[k]), stored[k], int(n[x]), stored[x], percent)]
+        bound = points.bounds(np.full(len(near), k), near)
+        may = bound >= needed(int(n[k]), n[near], percent)
+        near, bound = near[may], bound[may]
+        more = len(near) > named
+        if more:
+            share = np.minimum(bound, np.minimum(n[near], n[k])) / (n[near] + n[k])
+            near = near[np.lexsort((node[near], -share))[:named]]
+        found.update((int(min(node[k], node[x])), int(max(node[k], node[x])), more) for x in near)
     return found
 
 
-def _between(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within cells (token, i, j) that all bounds leave open.
+def _between(rows: DataFrame, named: int, percent: int) -> DataFrame:
+    """Pairs (a, b, more) of different components within cells (token, i, j) that all bounds leave open.
 
     A cell has two tiles at most. Cells follow each other in sorted partitions; one is held at a time.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(part: pd.DataFrame) -> list[tuple[int, int]]:
-            return _cell_pairs(part, part["i"].iloc[0] != part["j"].iloc[0], percent) if len(part) > 1 else []
+        def done(pairs: set) -> pa.RecordBatch:
+            columns = list(zip(*pairs, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
 
         left = None
         for batch in batches:
@@ -349,16 +401,43 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
             keys = part[list(_CELL)].to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             starts = [0, *cuts.tolist()]
-            pairs: set[tuple[int, int]] = set()
+            pairs: set[tuple[int, int, bool]] = set()
             for a, b in zip(starts, starts[1:], strict=False):
-                pairs.update(done(part.iloc[a:b]))
+                pairs |= _cell_pairs(part.iloc[a:b], named, percent)
             left = part.iloc[starts[-1] :]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield done(pairs)
         if left is not None and len(left):
-            pairs = set(done(left))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield done(_cell_pairs(left, named, percent))
+
+    found = rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(of, _FOUND)
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
-    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(of, "a long, b long").distinct()
+
+def _cells(shared: DataFrame, linked: DataFrame, at: DataFrame, tile_rows: int) -> DataFrame:
+    """Rows of blocks that hold several components, dealt to cells.
+
+    A block's largest component has tiles of its own, and no cell holds two of these: its members
+    are held against the others, so a block that is nearly one component costs little more than its rows.
+    """
+    part = shared.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = cut(part.select("token", "node", "rest", "component"))
+    # of blocks with the same members, the one whose token comes first has the most rest
+    members = F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y"), F.count(F.lit(1)).alias("_m"), F.sum("rest").alias("_rest")
+    by = part.groupBy("token", "component").agg(*members)
+    sums = F.bit_xor("_x").alias("_x"), F.bit_xor("_y").alias("_y"), F.sum("_m").alias("_m"), F.sum("_rest").alias("_rest")
+    mixed = by.groupBy("token").agg(F.count(F.lit(1)).alias("_k"), F.max(F.struct("_m", "component")).alias("_top"), *sums).filter(F.col("_k") > 1)
+    mixed = mixed.groupBy("_x", "_y", "_m").agg(F.max(F.struct("_rest", "token", "_top")).alias("_first"))
+    small = F.col("_m") <= tile_rows
+    own, rest = F.when(small, 0).otherwise(F.col("_first._top._m")), F.when(small, F.col("_m")).otherwise(F.col("_m") - F.col("_first._top._m"))
+    mixed = cut(mixed.select("_first.token", F.col("_first._top.component").alias("_top"), *[F.ceil(x / tile_rows).cast("int").alias(y) for x, y in ((own, "_own"), (rest, "_others"))]))
+    # a small block is one cell, as if it had no largest component
+    tiled = part.join(mixed, "token").withColumn("_is", (F.col("component") == F.col("_top")) & (F.col("_own") > 0))
+    h = F.xxhash64("node")
+    tiled = tiled.withColumn("tile", F.when(F.col("_is"), F.pmod(h, F.greatest("_own", F.lit(1)))).otherwise(F.col("_own") + F.pmod(h, F.col("_others"))).cast("int"))
+    last = F.col("_own") + F.col("_others") - 1
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.when(F.col("_is"), F.col("_own")).otherwise(F.lit(0)), last)))
+    cells = tiled.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "rest", "component")
+    return cells.join(at, "node")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -372,43 +451,53 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = every.filter(F.col("doc_id").isNotNull())
     found = cut(_sets(texts))
-    sets = cut(found.filter(F.col("part").isNull()).drop("part", "counts"))
+    sets = found.filter(F.col("part").isNull()).drop("part", "counts")
     busy = _busy(found)
-    del found
     classes = cut(sets.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")))
 
     nodes = cut(_nodes(texts, busy, percent))
     at = cut(nodes.select("node", "n", "point").dropDuplicates(["node"]))
     rows = _token_rows(nodes)
-    blocks = cut(rows.groupBy("token").agg(F.min("node").alias("centre"), F.max("node").alias("_most")).filter(F.col("centre") < F.col("_most")).drop("_most"))
-    release(spark)
-    shared = cut(rows.join(blocks, "token").filter(F.col("node") != F.col("centre")))
-    del nodes, rows, blocks
-    pairs = shared.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    release(spark)
-    links = cut(_verified(cut(_bounded(pairs, at, percent)), texts, percent))
-    release(spark)
-
-    linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    in_part = shared.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    in_part = cut(in_part.select("token", "node", "rest", "component"))
-    whole = F.sum("rest").alias("_rest")  # of blocks with the same members, the one whose token comes first has the most
-    members = F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y"), F.count(F.lit(1)).alias("_m")
-    mixed = in_part.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), *members, whole).filter(F.col("_a") < F.col("_b"))
-    mixed = cut(mixed.groupBy("_x", "_y", "_m").agg(F.max(F.struct("_rest", "token")).alias("_first")).select("_first.token", F.ceil(F.col("_m") / tile_rows).cast("int").alias("tiles")))
-    tiled = in_part.join(mixed, "token").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    cells = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "rest", "component")
-    cells = cells.join(at, "node")
-    more = cut(_between(cells, percent))
+    blocks = cut(rows.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter(F.col("_a") < F.col("_b")).select("token"))
+    shared = cut(rows.join(blocks, "token"))
+    drop(nodes, blocks)
+    # how many of its first tokens a node shares; the greatest in a block is the block's centre
+    degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    centres = shared.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", (-F.col("node")).alias("_node"))).alias("_c"))
+    centres = cut(centres.select("token", (-F.col("_c._node")).alias("centre")))
     release(spark)
-    if more.limit(1).count():
-        links = cut(links.unionByName(_verified(more, texts, percent)))
+    pairs = shared.join(centres, "token").filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    near = cut(_bounded(pairs, at, percent))
+    drop(centres)
+    links = _verified(near, texts, percent)
+    drop(near)
     release(spark)
 
-    member = cut(sets.join(classes, ["s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
+    refuted, named = None, NAMED
+    while True:
+        linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found_now = cut(_between(_cells(shared, linked, at, tile_rows), named, percent))
+        release(spark)
+        new = cut(found_now.select("a", "b") if refuted is None else found_now.join(refuted, ["a", "b"], "left_anti").select("a", "b"))
+        more = bool(found_now.agg(F.max("more")).first()[0])
+        drop(found_now)
+        if not new.isEmpty():
+            good, links_before, refuted_before = _verified(new, texts, percent), links, refuted
+            bad = new.join(good, ["a", "b"], "left_anti")
+            refuted = cut(bad if refuted is None else refuted.unionByName(bad))
+            links = cut(links.unionByName(good))
+            drop(new, good, links_before, refuted_before)
+            release(spark)
+        if not more:
+            break
+        named *= GROWTH
+    drop(shared, at, refuted)
+
+    member = cut(sets.filter(F.col("n") > 0).join(classes, ["s1", "s2"]).select("doc_id", "n", "class_id"))
     to_class = member.select("doc_id", "class_id").distinct()
     ends = links.join(to_class.select(F.col("doc_id").alias("a"), F.col("class_id").alias("u")), "a").join(to_class.select(F.col("doc_id").alias("b"), F.col("class_id").alias("v")), "b").select("u", "v")
     whole = cut(components(ends))
     out = member.join(whole, member["class_id"] == whole["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"))
+    bare = sets.filter(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     lost = every.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(lost)
+    return out.unionByName(bare).unionByName(lost)
