@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 
 from quernel.errors import EngineError
-from quernel.functions.expressions import aggregates, names_in, outside
+from quernel.functions.expressions import Call, aggregates, counts_rows, names_in, outside
 
 GRAINS = ("year", "quarter", "month", "week", "day", "hour")
 TYPES = {"string": "string", "integer": "bigint", "decimal": "decimal(38,18)", "float": "double", "boolean": "boolean", "date": "date", "time": "time", "datetime": "timestamp_ntz", "datetimetz": "timestamp", "opaque": None}
@@ -79,6 +79,9 @@ class Spine:
 class Metric:
     """An aggregate over fields, an expression over metrics, or one of the special kinds named by their option.
 
+    where: a filter or a list of them that belong to the metric; stage: pre_aggregation (of its rows) or
+    post_aggregation (of its own values). dataset: whose rows COUNT(*) counts. algebra: how results of an
+    aggregate merge that the engine knows nothing of: sum, min or max; duplicates: whether it is sensitive to them.
     about: description, aliases, owner, lifecycle, certification, replacement; and what reviewers expect: type, aggregation.
     """
 
@@ -88,15 +91,45 @@ class Metric:
     time: str | None = None
     fill_zero: bool = False
     scale: str | None = None
-    where: dict | None = None
+    where: dict | list | None = None
+    stage: str | None = None
+    dataset: str | None = None
     cumulative: dict | None = None
     offset: dict | None = None
     offset_to_grain: dict | None = None
     semi_additive: dict | None = None
     conversion: dict | None = None
     algebra: str | None = None
+    duplicates: str = "sensitive"
     about: dict | None = None
 
+    @property
+    def filters(self) -> tuple[dict, ...]:
+        return tuple(self.where) if isinstance(self.where, list) else (self.where,) if self.where else ()
+
+    @property
+    def post(self) -> tuple[dict, ...]:
+        """The definition filters on its own values."""
+        own = self.stage == "post_aggregation" or self.stage is None and self.where and all(f.get("field") == self.name for f in self.filters)
+        return self.filters if own else ()
+
+    @property
+    def pre(self) -> tuple[dict, ...]:
+        return () if self.post else self.filters
+
+
+OPERATORS = {"eq": 1, "neq": 1, "gt": 1, "gte": 1, "lt": 1, "lte": 1, "in": None, "not_in": None, "between": 2, "is_null": 0, "is_not_null": 0}
+
+
+def check_leaf(f: dict) -> None:
+    """A filter of a field, an operator and as many values as it takes."""
+    values = f.get("values", [])
+    if set(f) - {"field", "op", "values"} or not f.get("field") or f.get("op") not in OPERATORS:
+        raise EngineError("INVALID_FILTER", str(f))
+    n = OPERATORS[f["op"]]
+    if not isinstance(values, list | tuple) or (not values if n is None else len(values) != n):
+        raise EngineError("INVALID_FILTER", f"{f['op']} with {values!r}")
+
 
 ABOUT = {"description", "aliases", "owner", "lifecycle", "certification", "replacement", "expects"}
 
@@ -121,6 +154,44 @@ class Model:
             self.kind(m)
             self.closure([m])
             self._check_pick(m)
+            self._check_filters(m)
+            self._check_algebra(m)
+
+    def _check_filters(self, name: str) -> None:
+        """Definition filters are leaves: on fields, of a source metric, or on the metric's own values."""
+        m = self.metrics[name]
+        if m.stage not in (None, "pre_aggregation", "post_aggregation") or (m.stage or m.where is not None) and not m.filters:
+            raise EngineError("INVALID_DEFINITION_FILTER", name)
+        for f in m.filters:
+            check_leaf(f)
+        if any(f["field"] != name for f in m.post):
+            raise EngineError("INVALID_DEFINITION_FILTER", f"{name} may filter no other values than its own")
+        if m.pre and self.kind(name) != "source":
+            raise EngineError("INVALID_DEFINITION_FILTER", f"{name} has no rows of its own to filter")
+        for f in m.pre:
+            self.field(f["field"])
+
+    def _check_algebra(self, name: str) -> None:
+        m = self.metrics[name]
+        if m.duplicates not in ("sensitive", "insensitive"):
+            raise EngineError("INVALID_ALGEBRA", name)
+        if m.algebra is None:
+            return
+        calls = aggregates(m.expr) if self.kind(name) == "source" else []
+        if m.algebra not in ("sum", "min", "max") or len(calls) != 1 or not calls[0].whole:
+            raise EngineError("INVALID_ALGEBRA", f"{name}: only of one aggregate call")
+
+    def merge_of(self, name: str) -> str | None:
+        """How results of a source metric merge into coarser ones; None if they do not."""
+        m, calls = self.metrics[name], aggregates(self.metrics[name].expr)
+        return calls[0].merge or m.algebra if len(calls) == 1 and calls[0].whole else None
+
+    def ignores_duplicates(self, name: str) -> bool:
+        m = self.metrics[name]
+        return m.duplicates == "insensitive" and m.algebra is not None or all(c.ignores_duplicates for c in aggregates(m.expr))
+
+    def calls(self, name: str) -> list[Call]:
+        return aggregates(self.metrics[name].expr)
 
     def _check_pick(self, name: str) -> None:
         """A pick over another pick chooses by the same time and tie break, with the same nulls, and over no rollup."""
@@ -194,7 +265,14 @@ class Model:
 
     def metric_datasets(self, name: str) -> list[str]:
         """Datasets that a source metric's expression reads, in order."""
-        return list(dict.fromkeys(self.field(x)[0].name for x in names_in(self.metric(name).expr) if "." in x or any(x in d.fields for d in self.datasets.values())))
+        m = self.metric(name)
+        out = list(dict.fromkeys(self.field(x)[0].name for x in names_in(m.expr) if "." in x or any(x in d.fields for d in self.datasets.values())))
+        if counts_rows(m.expr):
+            counted = m.dataset or (self.field(m.time)[0].name if m.time else None) or (out[0] if len(out) == 1 else None) or (next(iter(self.datasets)) if len(self.datasets) == 1 else None)
+            if counted not in self.datasets:
+                raise EngineError("INVALID_METRIC", f"{name} counts the rows of no one dataset")
+            out = [counted, *[x for x in out if x != counted]]
+        return out
 
     def time_of(self, name: str) -> str | None:
         """The time dimension a metric is bound to, its own or that of its inputs."""

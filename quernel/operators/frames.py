@@ -43,10 +43,21 @@ def densify(df: DataFrame, calendar: DataFrame, keys: list[str], others: list[st
 
 
 def match_conversions(base: DataFrame, events: DataFrame, keys: list[tuple[str, str]], base_time: str, event_time: str, base_id: list[str], event_id: list[str], since: Column | None) -> DataFrame:
-    """Each event with the nearest base row before it, by equal keys and, if given, no earlier than `since`."""
-    on = [F.col(a) == F.col(b) for a, b in keys] + [F.col(base_time) <= F.col(event_time)]
-    if since is not None:
-        on.append(F.col(base_time) >= since)
-    w = Window.partitionBy(*event_id).orderBy(F.desc(base_time), *[F.desc(x) for x in base_id])
-    joined = base.join(events, reduce(lambda a, b: a & b, on))
-    return joined.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    """Each event with the nearest base row at or before its time, by equal keys and, if given, no earlier than `since`.
+
+    Both sides in one order by key and time; an event takes the last base row it has passed. So a key
+    with many of both costs its sorted rows, not their pairs. Rows without a key or a time match nothing.
+    """
+    own = [f"_k{i}" for i in range(len(keys))]
+
+    def side(df: DataFrame, names: list[str], time: str, kind: int, ids: list[str]) -> DataFrame:
+        there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*names, time]])
+        left, right = (F.struct(*x.columns) for x in (base, events))
+        both = [left if kind == 0 else F.lit(None).cast(base.schema), right if kind else F.lit(None).cast(events.schema)]
+        order = F.struct(*[F.col(c) for c in ids]) if kind == 0 else F.lit(None).cast(base.select(F.struct(*[F.col(c) for c in base_id]).alias("x")).schema["x"].dataType)
+        return df.filter(there).select(*[F.col(a).alias(b) for a, b in zip(names, own, strict=True)], F.col(time).alias("_time"), F.lit(kind).alias("_kind"), order.alias("_order"), both[0].alias("_base"), both[1].alias("_event"))
+
+    rows = side(base, [a for a, _ in keys], base_time, 0, base_id).unionByName(side(events, [b for _, b in keys], event_time, 1, event_id))
+    w = Window.partitionBy(*own).orderBy("_time", "_kind", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = rows.withColumn("_base", F.last("_base", ignorenulls=True).over(w)).filter((F.col("_kind") == 1) & F.col("_base").isNotNull()).select("_base.*", "_event.*")
+    return got if since is None else got.filter(F.col(base_time) >= since)

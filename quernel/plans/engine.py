@@ -8,17 +8,22 @@ and pruning, pushdown and join strategies are Catalyst's.
 
 from __future__ import annotations
 
+import math
+import re
 import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from datetime import datetime
+from datetime import time as clock
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quernel.errors import EngineError
-from quernel.functions.expressions import aggregates, over_metrics, names_in, renamed, spark_sql
+from quernel.functions.expressions import names_in, only, over_metrics, renamed, spark_sql
 from quernel.model import GRAINS, TYPES, Model, Relationship
 from quernel.operators import frames, time
 from quernel.plans.request import ORDERED, DimensionRef, Request, parse
@@ -33,6 +38,7 @@ class Dim:
     field: str  # dataset.field
     grain: str | None = None
     custom: bool = False
+    periods: tuple[tuple[str, str, str], ...] = ()  # (name, start, stop): the name of the half-open period, null in none
 
 
 @dataclass(frozen=True)
@@ -50,6 +56,39 @@ def column(name: str) -> str:
     return name.replace(".", "__")
 
 
+def literal_type(value: str, kind: str) -> str:
+    return "decimal(38,0)" if kind == "integer" and not -(1 << 63) <= int(value) < 1 << 63 else TYPES[kind]
+
+
+def typed(value: str, kind: str) -> str:
+    """The literal if it is one of the type, else INVALID_FILTER; numbers never take the way over a float."""
+    try:
+        match kind:
+            case "integer":
+                ok = re.fullmatch(r"[+-]?\d{1,38}", value)
+            case "decimal":
+                ok = Decimal(value).is_finite() and len(Decimal(value).as_tuple().digits) <= 38
+            case "float":
+                ok = math.isfinite(float(value))
+            case "boolean":
+                ok = value in ("true", "false")
+            case "date":
+                ok = datetime.fromisoformat(value) and re.match(r"\d{4}-\d\d-\d\d", value)
+            case "time":
+                ok = clock.fromisoformat(value).tzinfo is None
+            case "datetime":
+                ok = datetime.fromisoformat(value).tzinfo is None
+            case "datetimetz":
+                ok = datetime.fromisoformat(value)
+            case _:
+                ok = True
+    except (ValueError, InvalidOperation):
+        ok = False
+    if not ok:
+        raise EngineError("INVALID_FILTER", f"{value!r} is no {kind}")
+    return value
+
+
 class Engine:
     """policies: dataset -> SQL predicates over its source columns, applied at every read of it."""
 
@@ -97,7 +136,7 @@ class Engine:
     # --- predicates ------------------------------------------------------------------------------
 
     def literal(self, value: str, kind: str | None) -> Column:
-        return F.lit(value).cast(TYPES[kind]) if kind and TYPES.get(kind) else F.lit(value)
+        return F.lit(typed(value, kind)).cast(literal_type(value, kind)) if kind and TYPES.get(kind) else F.lit(value)
 
     def leaf(self, c: Column, f: dict, kind: str | None) -> Column:
         op = f["op"]
@@ -170,6 +209,10 @@ class Engine:
         c = F.col(column(d.field))
         if d.custom:
             return c
+        if d.periods:
+            kind = self.model.field(d.field)[1].type
+            within = [F.when((c >= self.literal(a, kind)) & (c < self.literal(b, kind)), F.lit(x)) for x, a, b in d.periods]
+            return F.coalesce(*within)
         return time.truncate(c, d.grain) if d.grain else c
 
     def root(self, name: str) -> str:
@@ -184,22 +227,20 @@ class Engine:
                 continue
         return own[0]
 
-    def work(self, name: str, scope: Scope) -> tuple:
-        """What has to be equal for two source metrics to share a groupBy."""
-        own = self.model.metric(name).where
-        pre = own if own and not self.is_metric_filter(own) else None
+    def work(self, name: str, scope: Scope, pre: tuple[dict, ...] | None = None) -> tuple:
+        """What has to be equal for two source metrics to share a groupBy; `pre` stands for the metric's own filters."""
+        pre = self.model.metric(name).pre if pre is None else pre
         root = self.root(name)
         needed = [*self.model.metric_datasets(name), *[d.field.split(".")[0] for d in scope.dims]]
-        for f in [*scope.filters, *([pre] if pre else [])]:
+        for f in [*scope.filters, *pre]:
             if "exists" not in f:
                 needed += sorted(self.datasets_of(f))
-        strict = not all(c.ignores_duplicates for c in aggregates(self.model.metric(name).expr))
-        return root, tuple(x for x in dict.fromkeys(needed) if x != root), repr(pre), strict
+        return root, tuple(x for x in dict.fromkeys(needed) if x != root), repr(pre), not self.model.ignores_duplicates(name)
 
-    def rows(self, work: tuple, scope: Scope, pre: dict | None) -> DataFrame:
+    def rows(self, work: tuple, scope: Scope, pre: tuple[dict, ...]) -> DataFrame:
         root, others, _, strict = work
         df = self.joined(root, list(others), strict)
-        for f in [*scope.filters, *([pre] if pre else [])]:
+        for f in [*scope.filters, *pre]:
             if "exists" in f:
                 df = self.exists(df, f, root)
             else:
@@ -216,24 +257,48 @@ class Engine:
 
         return F.expr(renamed(spark_sql(expr), to))
 
-    def sources(self, names: list[str], scope: Scope, states: bool = False) -> DataFrame:
-        """Source metrics at the scope's grain; with states, AVG as its sum and count (name__sum, name__count)."""
+    def shared(self, names: list[str], scope: Scope) -> tuple[dict[tuple, list[str]], dict[str, tuple]]:
+        """Source metrics by the work they share, and the works that metrics with filters of their own join.
+
+        Such a metric joins an unfiltered one's groupBy if that already has all that its filters
+        read: what the filters keep is then aggregated apart in the same pass.
+        """
         works: dict[tuple, list[str]] = {}
         for n in names:
-            works.setdefault(self.work(n, scope), []).append(n)
+            if not self.model.metric(n).pre:
+                works.setdefault(self.work(n, scope), []).append(n)
+        lowered = {}
+        for n in names:
+            if pre := self.model.metric(n).pre:
+                own = self.work(n, scope, ())
+                if own in works and set().union(*map(self.datasets_of, pre)) <= {own[0], *own[1]}:
+                    lowered[n] = own
+                else:
+                    works.setdefault(self.work(n, scope), []).append(n)
+        return works, lowered
+
+    def sources(self, names: list[str], scope: Scope, states: bool = False) -> DataFrame:
+        """Source metrics at the scope's grain; with states, AVG as its sum and count (name__sum, name__count).
+
+        With dimensions, a metric whose filters keep none of a group's rows is null there, a count too.
+        """
+        works, lowered = self.shared(names, scope)
         out = []
         for work, group in works.items():
-            where = self.model.metric(group[0]).where
-            pre = where if where and not self.is_metric_filter(where) else None
-            df = self.rows(work, scope, pre)
+            df = self.rows(work, scope, self.model.metric(group[0]).pre)
             columns = []
             for n in group:
-                expr = self.model.metric(n).expr
-                if states and aggregates(expr)[0].name == "AVG":
-                    arg = aggregates(expr)[0].args[0]
-                    columns += [self.sql(f"SUM({arg})").alias(f"{n}__sum"), self.sql(f"COUNT({arg})").alias(f"{n}__count")]
+                expr, calls = self.model.metric(n).expr, self.model.calls(n)
+                if states and calls[0].name == "AVG":
+                    arg, suffix = calls[0].args[0], calls[0].suffix
+                    columns += [self.sql(f"SUM({arg}){suffix}").alias(f"{n}__sum"), self.sql(f"COUNT({arg}){suffix}").alias(f"{n}__count")]
                 else:
                     columns.append(self.sql(expr).alias(n))
+            for k, n in enumerate(x for x, own in lowered.items() if own == work):
+                kept = f"_kept_{k}"
+                df = df.withColumn(kept, F.coalesce(reduce(lambda a, b: a & b, map(self.predicate, self.model.metric(n).pre)), F.lit(False)))
+                value = self.sql(only(self.model.metric(n).expr, kept))
+                columns.append((F.when(F.bool_or(kept), value) if scope.dims else value).alias(n))
             by = [self.dim_column(d).alias(d.label) for d in scope.dims]
             out.append(df.groupBy(*by).agg(*columns) if by else df.agg(*columns))
         return frames.align(out, scope.labels)
@@ -254,26 +319,28 @@ class Engine:
         for n in names:
             need(n)
         kinds = {n: self.model.kind(n) for n in closed}
-        parts = []
         plain = [n for n in closed if kinds[n] == "source"]
-        if plain:
-            parts.append(self.sources(plain, scope))
-        for n in closed:
-            if kinds[n] not in ("source", "derived"):
-                parts.append(getattr(self, f"_{kinds[n]}")(n, scope))
-        for k, n in enumerate(closed):  # a filter on the metric itself keeps its rows only
-            where = self.model.metric(n).where
-            if where and where.get("field") == n:
-                if kinds[n] == "source":
-                    own = self.sources([n], scope)
-                    parts[0] = parts[0].drop(n) if len(plain) > 1 else None
-                    parts = [p for p in parts if p is not None]
-                    parts.append(own.filter(self.leaf(F.col(n), where, self.model.metric(n).type)))
-        df = frames.align(parts, scope.labels)
+        parts = [(plain, self.sources(plain, scope))] if plain else []
+        parts += [([n], getattr(self, f"_{kinds[n]}")(n, scope)) for n in closed if kinds[n] not in ("source", "derived")]
+        filtered = any(self.model.metric(n).post for n in closed)
+        if filtered:  # a metric's filter on itself takes rows from its own branch alone, so branches say where they have rows
+            parts = [(own, df.withColumn(f"_in_{k}", F.lit(True))) for k, (own, df) in enumerate(parts)]
+        df = frames.align([df for _, df in parts], scope.labels)
+        there = {n: F.coalesce(f"_in_{k}", F.lit(False)) for k, (own, _) in enumerate(parts) for n in own} if filtered else {}
         for n in closed:
+            m = self.model.metric(n)
             if kinds[n] == "derived":
-                df = df.withColumn(n, over_metrics(self.model.metric(n).expr, lambda x: F.col(x)))
+                df = df.withColumn(n, over_metrics(m.expr, lambda x: F.col(x)))
+            if filtered:
+                own = there[n] if n in there else reduce(lambda a, b: a | b, [F.col(f"_at_{x}") for x in self.model.inputs(n)])
+                for f in m.post:
+                    own = own & F.coalesce(self.leaf(F.col(n), f, m.type), F.lit(False))
+                df = df.withColumn(f"_at_{n}", own)
+                df = df.withColumn(n, F.when(F.col(f"_at_{n}"), F.col(n))) if m.post else df
             df = self.finished(df, n)
+        if filtered:  # one-row branches are crossed, so there a branch without its row leaves none
+            rows = [F.col(f"_at_{n}") for n in (names if scope.dims else closed)]
+            df = df.filter(reduce((lambda a, b: a | b) if scope.dims else (lambda a, b: a & b), rows))
         return df.select(*scope.labels, *names)
 
     def time_dim(self, name: str, scope: Scope) -> Dim:
@@ -325,16 +392,16 @@ class Engine:
         if kind != "source":
             df = self.evaluate([base], scope)
             return self.dense(df, dim, scope, [base]), {f"{base}__w": ("sum", base)}, F.col(f"{base}__w")
-        calls = aggregates(self.model.metric(base).expr)
-        if len(calls) != 1 or not calls[0].whole or not calls[0].merge:
+        merge = self.model.merge_of(base)
+        if not merge or self.model.metric(base).post:
             raise EngineError("INVALID_METRIC_ROLLUP", f"{name} over {base}")
         df = self.sources([base], scope, states=True)
-        if calls[0].merge == "avg":
+        if merge == "avg":
             pair = [f"{base}__sum", f"{base}__count"]
             df = self.dense(df, dim, scope, pair)
             return df, {f"{x}__w": ("sum", x) for x in pair}, F.try_divide(F.col(f"{pair[0]}__w"), F.col(f"{pair[1]}__w"))
-        df = self.dense(df, dim, scope, [base] if calls[0].merge == "sum" else [])
-        return df, {f"{base}__w": (calls[0].merge, base)}, F.col(f"{base}__w")
+        df = self.dense(df, dim, scope, [base] if merge == "sum" else [])
+        return df, {f"{base}__w": (merge, base)}, F.col(f"{base}__w")
 
     def dense(self, df: DataFrame, dim: Dim, scope: Scope, zero: list[str]) -> DataFrame:
         periods = self.calendar(dim, scope)
@@ -477,7 +544,8 @@ class Engine:
             d = d.withColumn(f"_{tag}v", value)
             if tag == "b":
                 d = d.withColumns({f"_d{k}": self.dim_column(dim) for k, dim in enumerate(scope.dims)})
-            return d.select(*[F.col(c).alias(f"_{tag}_{c.split('__', 1)[1]}") if "__" in c and not c.startswith("_") else F.col(c) for c in d.columns])
+            wanted = {x["entity"], x["time"], *self.model.datasets[x["dataset"]].primary_key, *[c[tag == "e"] for c in o.get("constant", [])]}
+            return d.select(*[F.col(f"{x['dataset']}__{c}").alias(f"_{tag}_{c}") for c in sorted(wanted)], *[c for c in d.columns if c.startswith("_")])
 
         b, e = side(base, "b"), side(event, "e")
         since = None
@@ -567,7 +635,7 @@ class Engine:
         else:
             needed = list(dict.fromkeys([d.field.split(".")[0] for d in dims] + [x for f in scope.filters if "exists" not in f for x in sorted(self.datasets_of(f))]))
             root = next((r for r in needed if all(self._reaches(r, o) for o in needed)), needed[0])
-            df = self.rows((root, tuple(x for x in needed if x != root), "", False), scope, None)
+            df = self.rows((root, tuple(x for x in needed if x != root), "", False), scope, ())
             df = df.select(*[self.dim_column(d).alias(d.label) for d in dims]).distinct()
         for f in on_metrics:
             df = df.filter(self.leaf(F.col(f["field"]), f, self.model.metric(f["field"]).type))
@@ -598,18 +666,25 @@ class Engine:
         q = parse(given)
         scope = Scope(self.dims(q.dimensions), tuple(f for f in q.filters if not self.is_metric_filter(f)))
         closed = self.model.closure(list(q.metrics))
-        groups: dict[tuple, list[str]] = {}
-        for n in closed:
-            if self.model.kind(n) == "source":
-                groups.setdefault(self.work(n, scope), []).append(n)
+        groups, lowered = self.shared([n for n in closed if self.model.kind(n) == "source"], scope)
+        for n, own in lowered.items():
+            groups[own].append(n)
         plan = self.query(q)._jdf.queryExecution().toString()
         return {"metrics": {n: self.model.kind(n) for n in closed}, "shared": list(groups.values()), "plan": plan}
 
-    def dimension_values(self, name: str, limit: int = 100, filters: tuple[dict, ...] = ()) -> tuple[DataFrame, Callable[[list], bool]]:
-        """Distinct values without null, in order, one more than the limit; and a test of whether rows got were cut."""
+    def dimension_values(self, name: str, limit: int = 100, filters: tuple[dict, ...] = (), metrics: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[list], bool]]:
+        """Distinct values without null, in order, one more than the limit; and a test of whether rows got were cut.
+
+        With metrics, eight at most, only values that these have rows of.
+        """
         if not 1 <= limit <= 500:
             raise EngineError("INVALID_LIMIT", str(limit))
+        if len(metrics) > 8:
+            raise EngineError("INVALID_SCOPE", "eight metrics at most")
         label = DimensionRef(name).label
+        if metrics:
+            rows = self.query({"metrics": list(metrics), "dimensions": [name], "filters": [*filters, {"field": name, "op": "is_not_null"}]})
+            return rows.select(label).distinct().orderBy(F.asc_nulls_last(label)).limit(limit + 1), lambda rows: len(rows) > limit
         df = self.query({"dimensions": [name], "filters": [*filters, {"field": name, "op": "is_not_null"}], "order_by": [label], "intent": "distinct_values"})
         return df.limit(limit + 1), lambda rows: len(rows) > limit
 
@@ -645,7 +720,12 @@ def bounded(df: DataFrame, most_rows: int, most_bytes: int | None = None, second
         sc.setJobGroup(group, "bounded result", interruptOnCancel=True)
         timer.start()
     try:
-        rows = df.limit(most_rows + 1).collect()
+        few = df.limit(most_rows + 1)
+        if most_bytes is not None:  # rows that follow the one that goes beyond are not sent; there are most_rows at most to number
+            size = F.coalesce(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), F.lit(0))
+            before = Window.orderBy(F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)
+            few = few.withColumn("_size", size).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).filter(F.col("_before") <= most_bytes)
+        rows = few.collect()
     except Exception as failure:
         if late.is_set():
             raise EngineError("EXECUTION_TIMEOUT", f"more than {seconds} seconds") from failure
@@ -659,8 +739,10 @@ def bounded(df: DataFrame, most_rows: int, most_bytes: int | None = None, second
         raise EngineError("EXECUTION_TIMEOUT", f"more than {seconds} seconds")
     if len(rows) > most_rows:
         raise EngineError("RESULT_TOO_LARGE", f"more than {most_rows} rows")
-    if most_bytes is not None and sum(len(str(r)) for r in rows) > most_bytes:
-        raise EngineError("RESULT_TOO_LARGE", f"more than {most_bytes} bytes")
+    if most_bytes is not None:
+        if rows and rows[-1]["_before"] + rows[-1]["_size"] > most_bytes:
+            raise EngineError("RESULT_TOO_LARGE", f"more than {most_bytes} bytes")
+        return [Row(**{k: v for k, v in r.asDict().items() if k not in ("_size", "_before")}) for r in rows]
     return rows
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from quernel.errors import EngineError
+from quernel.model import check_leaf
 
 ORDERED = {"gt", "gte", "lt", "lte", "between"}
-OPERATORS = {"eq", "neq", "in", "not_in", "is_null", "is_not_null", *ORDERED}
 MOST_DEPTH, MOST_NODES, MOST_LEAVES = 8, 128, 64
 
 
@@ -57,12 +57,7 @@ def _check(node: dict, depth: int, counts: list[int], root: bool) -> None:
             _check(x, depth + 1, counts, False)
         return
     counts[1] += 1
-    if set(node) - {"field", "op", "values"} or node.get("op") not in OPERATORS:
-        raise EngineError("INVALID_FILTER", str(node))
-    n = len(node.get("values", []))
-    wanted = {"is_null": n == 0, "is_not_null": n == 0, "between": n == 2, "in": n > 0, "not_in": n > 0}
-    if not wanted.get(node["op"], n == 1):
-        raise EngineError("INVALID_FILTER", f"{node['op']} with {n} values")
+    check_leaf(node)
 
 
 def parse(given: dict) -> Request:

@@ -60,6 +60,20 @@ MODEL = {
         {"name": "urgent_revenue", "expr": _PRICE, "where": {"field": "orders.o_orderpriority", "op": "eq", "values": ["1-URGENT"]}},
         {"name": "large_revenue", "expr": _PRICE, "where": {"field": "large_revenue", "op": "gt", "values": ["2000000"]}},
         {"name": "filled_urgent", "expr": _PRICE, "where": {"field": "orders.o_totalprice", "op": "gt", "values": ["490000"]}, "fill_zero": True},
+        {"name": "sales", "expr": _PRICE, "fill_zero": True},
+        {"name": "open_sales", "expr": f"{_PRICE} FILTER (WHERE orders.o_orderstatus = 'O')", "fill_zero": True},
+        {"name": "open_sales_share", "expr": "open_sales / sales"},
+        {"name": "orders_rows", "expr": "COUNT(*)", "dataset": "orders", "type": "integer"},
+        {"name": "big_orders", "expr": "COUNT_IF(orders.o_totalprice > 300000)", "type": "integer"},
+        {"name": "statuses", "expr": "LISTAGG(DISTINCT orders.o_orderstatus, ',') WITHIN GROUP (ORDER BY orders.o_orderstatus)", "type": "string"},
+        {"name": "quoted_open", "expr": """MAX(CAST("orders"."o_totalprice" AS DECIMAL(18,2))) FILTER (WHERE `orders`.`o_orderstatus` = 'O')"""},
+        {"name": "urgent_open", "expr": _PRICE, "stage": "pre_aggregation", "where": [{"field": "orders.o_orderpriority", "op": "eq", "values": ["1-URGENT"]}, {"field": "orders.o_orderstatus", "op": "eq", "values": ["O"]}]},
+        {"name": "wide_spread", "expr": "max_price - min_price", "stage": "post_aggregation", "where": [{"field": "wide_spread", "op": "gt", "values": ["400000"]}]},
+        {"name": "many_orders", "expr": "COUNT(orders.o_orderkey)", "type": "integer", "where": [{"field": "many_orders", "op": "gte", "values": ["180"]}]},
+        {"name": "last_flag", "expr": "BOOL_OR(orders.o_totalprice > 480000)", "type": "boolean"},
+        {"name": "top_bits", "expr": "BIT_OR(CAST(orders.o_custkey AS BIGINT))", "type": "integer", "time": "orders.o_orderdate"},
+        {"name": "peak", "expr": "TRY_SUM(CAST(orders.o_totalprice AS DECIMAL(18,2)))", "time": "orders.o_orderdate", "algebra": "sum"},
+        {"name": "peak_to_date", "cumulative": {"metric": "peak"}},
         {"name": "thousands", "expr": _PRICE, "scale": "0.001"},
         {"name": "balance_per_buyer", "expr": "SUM(CAST(customer.c_acctbal AS DECIMAL(18,2))) / COUNT(DISTINCT orders.o_orderkey)"},
         {"name": "price_spread", "expr": "max_price - min_price"},
@@ -67,7 +81,7 @@ MODEL = {
         {"name": "open_share", "expr": "open_revenue / revenue", "time": "orders.o_orderdate"},
         {"name": "spread_ratio", "expr": "price_spread / revenue_per_order", "time": "orders.o_orderdate"},
         {"name": "quantity", "expr": "SUM(CAST(lineitem.l_quantity AS DECIMAL(18,2)))", "time": "lineitem.l_shipdate"},
-        {"name": "lines", "expr": "COUNT(*) + 0 * COUNT(lineitem.l_orderkey)", "type": "integer"},
+        {"name": "lines", "expr": "COUNT(*)", "dataset": "lineitem", "type": "integer"},
         {"name": "customers_with_orders", "expr": "COUNT(DISTINCT customer.c_custkey)", "type": "integer"},
         {"name": "quantity_per_order", "expr": "quantity / orders_count"},
         {"name": "revenue_to_date", "cumulative": {"metric": "revenue"}},
@@ -212,17 +226,48 @@ def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _additive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(analysis.attribute_additive(engine(spark, sf_dir), "revenue", "orders.o_orderpriority", _TIME, _Y97, _Y98))
+    return plain(analysis.attribute_additive(engine(spark, sf_dir), "sales", "orders.o_orderpriority", _TIME, _Y97, _Y98))
 
 
 def _ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(analysis.attribute_ratio(engine(spark, sf_dir), "open_share", "orders.o_orderpriority", _TIME, _Y97, _Y98))
+    return plain(analysis.attribute_ratio(engine(spark, sf_dir), "open_sales_share", "orders.o_orderpriority", _TIME, _Y97, _Y98))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two weeks by buyer: most buyers are in one of them alone, so segments enter and leave."""
+    return plain(analysis.attribute_ratio(engine(spark, sf_dir), "open_sales_share", "customer.c_name", _TIME, ("1995-06-10", "1995-06-17"), ("1995-06-17", "1995-06-24")))
+
+
+def exact(df: DataFrame) -> DataFrame:
+    """Decimals as text, all places of them."""
+    return df.select(*[F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in df.schema])
+
+
+def _exact_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact(analysis.compare(engine(spark, sf_dir), ["revenue"], ["nation.n_name"], _TIME, _Y97, _Y98))
+
+
+def _exact_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact(engine(spark, sf_dir).query({"metrics": ["revenue", "max_price"], "dimensions": ["nation.n_name"]}))
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).dimension_values("nation.n_name", 500, (_f("orders.o_totalprice", "gt", "480000"),), ("revenue",))[0]
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).dimension_values("customer.c_mktsegment", 3)[0]
 
 
+_ENTRY_EXIT = f"""WITH s AS (SELECT c_name, sum(CASE WHEN p = 0 AND o_orderstatus = 'O' THEN v ELSE 0 END) AS nb, sum(CASE WHEN p = 0 THEN v ELSE 0 END) AS db, sum(CASE WHEN p = 1 AND o_orderstatus = 'O' THEN v ELSE 0 END) AS nc, sum(CASE WHEN p = 1 THEN v ELSE 0 END) AS dc,
+      bool_or(p = 0) AS b, bool_or(p = 1) AS c FROM (SELECT c_name, o_orderstatus, CASE WHEN o_orderdate < TIMESTAMP '1995-06-17' THEN 0 ELSE 1 END AS p, {_D} AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1995-06-10' AND o_orderdate < TIMESTAMP '1995-06-24') GROUP BY 1),
+    q AS (SELECT *, CAST(nb AS DOUBLE) / nullif(CAST(db AS DOUBLE), 0) AS rb, CAST(nc AS DOUBLE) / nullif(CAST(dc AS DOUBLE), 0) AS rc, CAST(db AS DOUBLE) / CAST(sum(db) OVER () AS DOUBLE) AS wb, CAST(dc AS DOUBLE) / CAST(sum(dc) OVER () AS DOUBLE) AS wc,
+      CAST(sum(nc) OVER () AS DOUBLE) / CAST(sum(dc) OVER () AS DOUBLE) - CAST(sum(nb) OVER () AS DOUBLE) / CAST(sum(db) OVER () AS DOUBLE) AS total FROM s),
+    e AS (SELECT c_name, total, CASE WHEN b AND c THEN 0.5 * (wb + wc) * (rc - rb) ELSE 0 END AS rate, CASE WHEN b AND c THEN 0.5 * (rb + rc) * (wc - wb) ELSE 0 END AS mix, CASE WHEN NOT b THEN wc * rc ELSE 0 END AS ent, CASE WHEN NOT c THEN -wb * rb ELSE 0 END AS ext FROM q)
+    SELECT c_name, round(rate, 6) AS rate_effect, round(mix, 6) AS mix_effect, round(ent, 6) AS entry_effect, round(ext, 6) + 0.0 AS exit_effect, round(rate + mix + ent + ext, 6) + 0.0 AS segment_effect, round(total, 6) AS total_change,
+      round(sum(rate + mix + ent + ext) OVER (), 6) AS decomposed, round(total - sum(rate + mix + ent + ext) OVER (), 6) + 0.0 AS residual, TRUE AS attribution_defined FROM e"""
+
+
 def _effects() -> str:
     q = lambda a, b: f"round(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 12)"
     return f"""WITH s AS (SELECT o_orderpriority, sum(CASE WHEN y = 1997 AND o_orderstatus = 'O' THEN v ELSE 0 END) AS nb, sum(CASE WHEN y = 1997 THEN v ELSE 0 END) AS db,
@@ -271,6 +316,23 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"SELECT c_mktsegment, {_REV}, {_r(f'''SUM({_D}) FILTER (WHERE o_orderpriority = '1-URGENT')''')} AS urgent_revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     ),
     "definition_filter_post": (_ask(metrics=["large_revenue"], dimensions=_by("month")), f"SELECT {_C.format(g='month')} AS period, {_r(f'SUM({_D})')} AS large_revenue FROM orders GROUP BY 1 HAVING SUM({_D}) > 2000000"),
+    "definition_filter_list": (
+        _ask(metrics=["revenue", "urgent_open"], dimensions=["customer.c_mktsegment"]),
+        f"SELECT c_mktsegment, {_REV}, {_r(f'''SUM({_D}) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')''')} AS urgent_open FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+    ),
+    "definition_filter_derived": (_ask(metrics=["wide_spread"], dimensions=["nation.n_name"]), f"SELECT n_name, {_r(f'MAX({_D}) - MIN({_D})')} AS wide_spread FROM {_JOINED} GROUP BY 1 HAVING MAX({_D}) - MIN({_D}) > 400000"),
+    "two_post_filters": (
+        _ask(metrics=["large_revenue", "many_orders"], dimensions=_by("month")),
+        f"SELECT * FROM (SELECT {_C.format(g='month')} AS period, CASE WHEN SUM({_D}) > 2000000 THEN {_r(f'SUM({_D})')} END AS large_revenue, CASE WHEN COUNT(o_orderkey) >= 180 THEN COUNT(o_orderkey) END AS many_orders FROM orders GROUP BY 1) WHERE large_revenue IS NOT NULL OR many_orders IS NOT NULL",
+    ),
+    "count_star": (_ask(metrics=["orders_rows", "lines"], dimensions=["orders.o_orderstatus"]), "SELECT o_orderstatus, a.n AS orders_rows, b.n AS lines FROM (SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT o_orderstatus, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) b USING (o_orderstatus)"),
+    "count_if": (_ask(metrics=["big_orders", "last_flag", "statuses"], dimensions=["orders.o_orderpriority"]), "SELECT o_orderpriority, CAST(count_if(o_totalprice > 300000) AS BIGINT) AS big_orders, bool_or(o_totalprice > 480000) AS last_flag, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1"),
+    "filter_clause": (_ask(metrics=["quoted_open", "open_sales"], dimensions=["orders.o_orderpriority"]), f"SELECT o_orderpriority, {_r(f'''MAX({_D}) FILTER (WHERE o_orderstatus = 'O')''')} AS quoted_open, {_r(f'''coalesce(SUM({_D}) FILTER (WHERE o_orderstatus = 'O'), 0)''')} AS open_sales FROM orders GROUP BY 1"),
+    "override_rollup": (_ask(metrics=["peak_to_date"], dimensions=_by("month")), f"WITH {_monthly()} SELECT period, {_r('SUM(v) OVER (ORDER BY period)')} AS peak_to_date FROM m"),
+    "is_null_filter": (_ask(metrics=["event_count"], dimensions=["events.event_type"], filters=[_f("events.k", "is_null")]), "SELECT event_type, COUNT(event_id) AS event_count FROM events WHERE json_extract_string(props, '$.k') IS NULL GROUP BY 1"),
+    "exact_decimals": (_exact_metric, f"SELECT n_name, CAST(CAST(SUM({_D}) AS DECIMAL(38,18)) AS VARCHAR) AS revenue, CAST(CAST(MAX({_D}) AS DECIMAL(38,18)) AS VARCHAR) AS max_price FROM {_JOINED} GROUP BY 1"),
+    "dimension_values_scoped": (_scoped, f"SELECT DISTINCT n_name FROM {_JOINED} WHERE o_totalprice > 480000 AND n_name IS NOT NULL"),
+    "ratio_entry_exit": (_segments, _ENTRY_EXIT),
     "zero_fill": (
         _ask(metrics=["orders_count", "filled_urgent"], dimensions=_by("month")),
         f"SELECT {_C.format(g='month')} AS period, COUNT(o_orderkey) AS orders_count, {_r(f'coalesce(SUM({_D}) FILTER (WHERE o_totalprice > 490000), 0)')} AS filled_urgent FROM orders GROUP BY 1",

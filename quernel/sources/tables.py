@@ -76,5 +76,5 @@ def scaffold(name: str, snapshot: dict[str, list[dict]], selected: dict[str, lis
             raise EngineError("UNKNOWN_FIELD", ", ".join(sorted(missing)))
         datasets.append({"name": source, "source": source, "fields": [{"name": c["name"], "type": c["type"]} for c in columns if c["name"] in wanted]})
         if row_count and wanted:
-            metrics.append({"name": f"{source}_rows", "expr": "COUNT(*)", "type": "integer"} | ({"expr": f"SUM(CASE WHEN {source}.{wanted[0]} IS NULL THEN 1 ELSE 1 END)"}))
+            metrics.append({"name": f"{source}_rows", "expr": "COUNT(*)", "dataset": source, "type": "integer"})
     return {"name": name, "datasets": datasets, "metrics": metrics}

@@ -138,7 +138,7 @@ def test_policies_reach_every_read(spark):
 
 
 def test_attributions_add_up(sales):
-    for f, m in ((analysis.attribute_additive, "revenue"), (analysis.attribute_ratio, "open_share")):
+    for f, m in ((analysis.attribute_additive, "sales"), (analysis.attribute_ratio, "open_sales_share")):
         assert analysis.inconsistencies(f(sales, m, "orders.o_orderpriority", "orders.o_orderdate", ("1997-01-01", "1998-01-01"), ("1998-01-01", "1999-01-01"))).count() == 0
     with pytest.raises(EngineError):
         analysis.attribute_additive(sales, "avg_price", "orders.o_orderpriority", "orders.o_orderdate", ("1997-01-01", "1998-01-01"), ("1998-01-01", "1999-01-01"))
