@@ -43,7 +43,7 @@ SHINGLE = 5
 #: Linked: PERCENT * size of the union is not above 100 * size of the intersection.
 PERCENT = 80
 GROUPS = 64
-MOST_GROUPS = 1 << 14
+MOST_GROUPS = 1 << 20
 SKETCH_BITS = 20
 _PARTS = 64
 #: Tasks' partial counts that one group sums.
@@ -52,8 +52,8 @@ LEAF = 16
 #: Larger blocks are dealt to cells of two such tiles each.
 TILE_ROWS = 2000
 #: Members of other components that a member names in the first round, and how that grows.
-NAMED, GROWTH = 4, 8
-_FULL = 255
+NAMED, GROWTH = 8, 8
+_FULL = 15
 
 _MULT, _MULT_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -198,11 +198,21 @@ def groups_of(n: int) -> int:
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Group counts of a set; a count beyond what a byte holds stands for any count."""
+    """Group counts of a set; a count beyond what half a byte holds stands for any count."""
     g = groups_of(len(tokens))
     return np.minimum(np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g), _FULL).astype(np.uint8)
 
 
+def stored(at: np.ndarray) -> bytes:
+    """A point with two counts to a byte."""
+    return (at[0::2] | at[1::2] << 4).tobytes()
+
+
+def loaded(held: np.ndarray) -> np.ndarray:
+    """Points (the last axis) of such bytes."""
+    return np.stack([held & 15, held >> 4], axis=-1).reshape(*held.shape[:-1], -1)
+
+
 def folded(at: np.ndarray, groups: int) -> np.ndarray:
     """Points (the last axis) in fewer groups."""
     if at.shape[-1] == groups:
@@ -235,7 +245,7 @@ def _nodes(docs: DataFrame, busy: np.ndarray, percent: int) -> DataFrame:
                 tokens, bounds = tokens[np.repeat(new, n)], np.append(0, np.cumsum(n[new]))
                 firsts, ends = first_tokens(tokens, bounds, held.value, percent)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(firsts.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][new].astype(np.int64)), pa.array(n[new]), pa.array([point(tokens[x:y]).tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()), lists], names=["node", "n", "point", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][new].astype(np.int64)), pa.array(n[new]), pa.array([stored(point(tokens[x:y])) for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary()), lists], names=["node", "n", "point", "tokens"])
 
     return docs.mapInArrow(of, NODES)
 
@@ -260,20 +270,20 @@ class Points:
     """Stored points by number, in blocks of equal length; pairs are compared in the fewer of their groups."""
 
     def __init__(self, stored: list[bytes]):
-        self.size = np.array([len(x) for x in stored], np.int64)
+        self.size = np.array([2 * len(x) for x in stored], np.int64)
         self.place = np.zeros(len(stored), np.int64)
         self.of: dict[int, np.ndarray] = {}
         for g in np.unique(self.size).tolist():
             at = np.flatnonzero(self.size == g)
             self.place[at] = np.arange(len(at))
-            self.of[g] = np.frombuffer(b"".join(stored[k] for k in at), np.uint8).reshape(len(at), g)
+            self.of[g] = loaded(np.frombuffer(b"".join(stored[k] for k in at), np.uint8).reshape(len(at), g // 2))
 
     def bounds(self, a: np.ndarray, b: np.ndarray, step: int = 4096) -> np.ndarray:
         """The overlap bound of each pair of numbers."""
         out = np.zeros(len(a), np.int64)
-        kinds = self.size[a] << 20 | self.size[b]
+        kinds = self.size[a] << 24 | self.size[b]
         for kind in np.unique(kinds).tolist():
-            g, h = kind >> 20, kind & ((1 << 20) - 1)
+            g, h = kind >> 24, kind & ((1 << 24) - 1)
             rows = np.flatnonzero(kinds == kind)
             for k in range(0, len(rows), step):
                 at = rows[k : k + step]
@@ -354,17 +364,17 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 _CELL = ("token", "i", "j")
-_FOUND = "a long, b long, more boolean"
+_FOUND = "a long, b long, token long"
 
 
-def _cell_pairs(cell: pd.DataFrame, named: int, percent: int) -> set[tuple[int, int, bool]]:
-    """(a, b, more) with a < b: each member's `named` nearest of other components, and whether it has more."""
+def _cell_pairs(cell: pd.DataFrame, named: int, percent: int) -> set[tuple]:
+    """(a, b, null) with a < b: each member's `named` nearest of other components; (null, null, token) if one has more."""
     node, n, component, tile, rest = (cell[c].to_numpy() for c in ("node", "n", "component", "tile", "rest"))
     if (component == component[0]).all():
         return set()
-    stored, tiles = cell["point"].tolist(), cell["i"].iloc[0] != cell["j"].iloc[0]
-    at = np.array([folded(np.frombuffer(x, np.uint8), GROUPS) for x in stored])
-    points, tree, found = Points(stored), CountTree(n, at, rest, component), set()
+    held, tiles = cell["point"].tolist(), cell["i"].iloc[0] != cell["j"].iloc[0]
+    at = np.array([folded(loaded(np.frombuffer(x, np.uint8)), GROUPS) for x in held])
+    points, tree, found = Points(held), CountTree(n, at, rest, component), set()
     for k in range(len(node)):
         near = tree.search(int(n[k]), at[k], int(rest[k]), component[k], percent)
         if tiles:
@@ -372,16 +382,16 @@ def _cell_pairs(cell: pd.DataFrame, named: int, percent: int) -> set[tuple[int,
         bound = points.bounds(np.full(len(near), k), near)
         may = bound >= needed(int(n[k]), n[near], percent)
         near, bound = near[may], bound[may]
-        more = len(near) > named
-        if more:
+        if len(near) > named:
+            found.add((None, None, int(cell["token"].iloc[0])))
             share = np.minimum(bound, np.minimum(n[near], n[k])) / (n[near] + n[k])
             near = near[np.lexsort((node[near], -share))[:named]]
-        found.update((int(min(node[k], node[x])), int(max(node[k], node[x])), more) for x in near)
+        found.update((int(min(node[k], node[x])), int(max(node[k], node[x])), None) for x in near)
     return found
 
 
 def _between(rows: DataFrame, named: int, percent: int) -> DataFrame:
-    """Pairs (a, b, more) of different components within cells (token, i, j) that all bounds leave open.
+    """Pairs (a, b) of different components within cells (token, i, j) that all bounds leave open, and tokens whose members had more of them.
 
     A cell has two tiles at most. Cells follow each other in sorted partitions; one is held at a time.
     """
@@ -389,7 +399,7 @@ def _between(rows: DataFrame, named: int, percent: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(pairs: set) -> pa.RecordBatch:
             columns = list(zip(*pairs, strict=True)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 3, strict=True)], names=["a", "b", "token"])
 
         left = None
         for batch in batches:
@@ -401,7 +411,7 @@ def _between(rows: DataFrame, named: int, percent: int) -> DataFrame:
             keys = part[list(_CELL)].to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             starts = [0, *cuts.tolist()]
-            pairs: set[tuple[int, int, bool]] = set()
+            pairs: set[tuple] = set()
             for a, b in zip(starts, starts[1:], strict=False):
                 pairs |= _cell_pairs(part.iloc[a:b], named, percent)
             left = part.iloc[starts[-1] :]
@@ -409,8 +419,7 @@ def _between(rows: DataFrame, named: int, percent: int) -> DataFrame:
         if left is not None and len(left):
             yield done(_cell_pairs(left, named, percent))
 
-    found = rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(of, _FOUND)
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(of, _FOUND).distinct()
 
 
 def _cells(shared: DataFrame, linked: DataFrame, at: DataFrame, tile_rows: int) -> DataFrame:
@@ -464,23 +473,23 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
     # how many of its first tokens a node shares; the greatest in a block is the block's centre
     degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     centres = shared.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", (-F.col("node")).alias("_node"))).alias("_c"))
-    centres = cut(centres.select("token", (-F.col("_c._node")).alias("centre")))
+    centres = centres.select("token", (-F.col("_c._node")).alias("centre"))
+    held = cut(shared.join(centres, "token").filter(F.col("node") != F.col("centre")))
+    drop(shared)
     release(spark)
-    pairs = shared.join(centres, "token").filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    near = cut(_bounded(pairs, at, percent))
-    drop(centres)
+    near = cut(_bounded(held.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), at, percent))
     links = _verified(near, texts, percent)
     drop(near)
     release(spark)
 
-    refuted, named = None, NAMED
+    # centres are settled, so they are no rows of the blocks that are searched
+    rest, refuted, named = held.select("token", "node", "rest"), None, NAMED
     while True:
         linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        found_now = cut(_between(_cells(shared, linked, at, tile_rows), named, percent))
+        found_now = cut(_between(_cells(rest, linked, at, tile_rows), named, percent))
         release(spark)
-        new = cut(found_now.select("a", "b") if refuted is None else found_now.join(refuted, ["a", "b"], "left_anti").select("a", "b"))
-        more = bool(found_now.agg(F.max("more")).first()[0])
-        drop(found_now)
+        new = found_now.filter("token is null").select("a", "b")
+        new = cut(new if refuted is None else new.join(refuted, ["a", "b"], "left_anti").select("a", "b"))
         if not new.isEmpty():
             good, links_before, refuted_before = _verified(new, texts, percent), links, refuted
             bad = new.join(good, ["a", "b"], "left_anti")
@@ -488,10 +497,15 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
             links = cut(links.unionByName(good))
             drop(new, good, links_before, refuted_before)
             release(spark)
-        if not more:
+        # a block none of whose members left any out has nothing more to say
+        open_ = cut(found_now.filter("token is not null").select("token").distinct())
+        drop(found_now)
+        if open_.isEmpty():
             break
+        before, rest = rest, cut(rest.join(open_, "token", "left_semi"))
+        drop(before, open_)
         named *= GROWTH
-    drop(shared, at, refuted)
+    drop(held, rest, at, refuted)
 
     member = cut(sets.filter(F.col("n") > 0).join(classes, ["s1", "s2"]).select("doc_id", "n", "class_id"))
     to_class = member.select("doc_id", "class_id").distinct()
