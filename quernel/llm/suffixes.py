@@ -9,6 +9,9 @@ one of each content stands for all. Contents that share an anchor hash and diffe
 copied passages, are gathered in shards by that hash, each shard gets a suffix array by induced sorting, and
 permuted common prefixes of LENGTH or more give the windows that are repeated.
 
+Passages of `WORDS` words that stand in other documents too are told in the same passes, with words in
+the place of bytes: they may be shorter than LENGTH, so they are counted and not removed.
+
 An anchor hash with more contents than `HOT_CONTENTS` would make a shard grow with the corpus; its
 windows are counted by their own hashes instead, which is as exact and spreads over all tasks.
 """
@@ -26,12 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import byte_chunks, cut, release
+from quernel.llm import jaccard
+from quernel.llm.common import byte_chunks, cut, drop, release
 
 LENGTH = 400
 GRAM = 32
 SHARD_BYTES = 1 << 20
 HOT_CONTENTS = 3000
+#: Words of a passage that is reported, the strings of words that its anchor is chosen among, and half a passage.
+WORDS = 51
+WORD_GRAM = 8
+HALF_WORDS = 25
 CHUNK = 1 << 18
 _PLACE_BITS = 26
 
@@ -234,13 +242,19 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, last window, anchor hash) of texts that lie end to end; places count from each text's start."""
     half = length // 2
-    n = len(data)
-    none = np.empty(0, np.int64)
-    if n < length:
+    if len(data) < length:
+        none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
-    hashes = gram_hashes(data)
-    span = length - GRAM + 1
-    m = n - length + 1
+    row, lo, hi, begin, salt = _halves(gram_hashes(data), np.repeat(np.arange(len(at) - 1), np.diff(at)), length, GRAM, half)
+    held = data.tobytes()
+    keys = [xxhash.xxh3_64_intdigest(held[x : x + half], k) for x, k in zip(begin.tolist(), salt.tolist(), strict=True)]
+    return row, lo - at[row], hi - at[row], np.array(keys, np.uint64)
+
+
+def _halves(hashes: np.ndarray, row: np.ndarray, length: int, gram: int, half: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, last window, start of the half, 1 or 2 for the half before or after the anchor), places overall."""
+    span = length - gram + 1
+    m = len(row) - length + 1
     mask = np.uint64((1 << _PLACE_BITS) - 1)
     keyed = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64) & mask
     blocks = -(-len(keyed) // span)
@@ -250,7 +264,6 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     anchor = (np.minimum(behind[:m], ahead[span - 1 : span - 1 + m]) & mask).astype(np.int64)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     valid = row[:m] == row[length - 1 :]
     starts = valid.copy()
     starts[1:] &= (anchor[1:] != anchor[:-1]) | (row[1:m] != row[: m - 1]) | ~valid[:-1]
@@ -263,10 +276,40 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np
     lo = np.concatenate([first[before], np.maximum(first, place - half + 1)[after]])
     hi = np.concatenate([np.minimum(last, place - half)[before], last[after]])
     begin = np.concatenate([place[before] - half, place[after]])
-    held = data.tobytes()
-    salt = np.repeat([1, 2], [before.sum(), after.sum()])
-    keys = [xxhash.xxh3_64_intdigest(held[x : x + half], k) for x, k in zip(begin.tolist(), salt.tolist(), strict=True)]
-    return row[lo], lo - at[row[lo]], hi - at[row[lo]], np.array(keys, np.uint64)
+    return row[lo], lo, hi, begin, np.repeat([1, 2], [before.sum(), after.sum()])
+
+
+class Words:
+    """The words of texts that lie end to end, with 128-bit names of any of their runs."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        words, self.row = jaccard.word_hashes(data, at)
+        n = len(words)
+        power, inverse = jaccard._powers(max(20, n.bit_length()))
+        self.inverse = inverse
+        self.first = np.searchsorted(self.row, np.arange(len(at) - 1))
+        self.sums = np.zeros((2, n + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for k, x in enumerate((words, jaccard._mixed(words ^ np.uint64(0x5851F42D4C957F2D)))):
+                np.cumsum(x * power[:n], out=self.sums[k, 1:])
+
+    def names(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            return tuple(jaccard._mixed((s[stop] - s[start]) * self.inverse[start]) for s in self.sums)
+
+
+def word_segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first window, last window, anchor hash, name, name) for windows of WORDS words; places count words from each text's start."""
+    words = Words(data, at)
+    n = len(words.row)
+    if n < WORDS:
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty(0, np.uint64), none, none
+    grams = np.arange(n - WORD_GRAM + 1)
+    row, lo, hi, begin, salt = _halves(words.names(grams, grams + WORD_GRAM)[0], words.row, WORDS, WORD_GRAM, HALF_WORDS)
+    keys = words.names(begin, begin + HALF_WORDS)[0] ^ (salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    s1, s2 = words.names(lo, hi + WORDS)
+    return row, lo - words.first[row], hi - words.first[row], keys, s1.view(np.int64), s2.view(np.int64)
 
 
 def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -281,45 +324,66 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray,
 
 
 def _segment_rows(docs: DataFrame, whole: bool) -> DataFrame:
-    """Anchor hashes of all segments, or whole rows: id, text hash, places, anchor hash and 128-bit content hash."""
-    schema = "doc_id long, h long, lo long, hi long, anchor long, s1 long, s2 long" if whole else "anchor long"
+    """Anchor hashes of all segments, of bytes and of words; or whole rows: places, anchor hash and 128-bit content name."""
+    schema = "doc_id long, h long, lo long, hi long, anchor long, s1 long, s2 long, words boolean" if whole else "doc_id long, anchor long, words boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = (pa.array(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+
+            def rows(own: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, s1: np.ndarray, s2: np.ndarray, words: bool) -> pa.RecordBatch:
+                own, kind = pa.array(own), pa.array(np.full(len(own), words))
+                columns = [ids.take(own), texts.take(own), pa.array(lo), pa.array(hi), pa.array(anchor.view(np.int64)), pa.array(s1), pa.array(s2), kind] if whole else [ids.take(own), pa.array(anchor.view(np.int64)), kind]  # noqa: B023
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
             for a, b, data, at in byte_chunks(batch.column(2), CHUNK):
+                row, lo, hi, anchor, s1, s2 = word_segments(data, at)
+                if len(row):
+                    yield rows(row + a, lo, hi, anchor, s1, s2, True)
                 for start, part, bounds in _pieces(data, at):
                     row, lo, hi, anchor = segments(part, bounds)
                     if not len(row):
                         continue
-                    if not whole:
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], names=["anchor"])
-                        continue
-                    held, first = part.tobytes(), bounds[row]
-                    names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(held[x:y]) for x, y in zip((first + lo).tolist(), (first + hi + LENGTH).tolist(), strict=True)]), np.int64).reshape(-1, 2)
-                    own = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays([ids.take(own), texts.take(own), pa.array(lo + start), pa.array(hi + start), pa.array(anchor.view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1])], names=[x.split()[0] for x in schema.split(", ")])
+                    name = np.zeros((len(row), 2), np.int64)
+                    if whole:
+                        held, first = part.tobytes(), bounds[row]
+                        name = np.frombuffer(b"".join([xxhash.xxh3_128_digest(held[x:y]) for x, y in zip((first + lo).tolist(), (first + hi + LENGTH).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                    yield rows(row + a, lo + start, hi + start, anchor, name[:, 0], name[:, 1], False)
 
     return docs.mapInArrow(of, schema)
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of segments (doc_id, h, lo, hi, anchor, n)."""
-    lists = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "anchor", "n", "hot")).alias("parts"))
-    schema = "doc_id long, h long, lo long, anchor long, n long, hot boolean, content binary"
+    """The bytes of segments (doc_id, h, lo, hi, anchor, n, hot), and the windows' names of those of words."""
+    lists = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "anchor", "n", "hot", "words")).alias("parts"))
+    schema = "doc_id long, h long, lo long, anchor long, n long, hot boolean, content binary, windows array<struct<w1:long,w2:long>>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary(), pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
             rows = []
             for doc, h, text, parts in zip(*[batch.column(k) for k in range(4)], strict=True):
                 raw = (text.as_py() or "").encode()
-                for p in parts.as_py():
-                    rows.append((doc.as_py(), h.as_py(), p["lo"], p["anchor"], p["n"], p["hot"], raw[p["lo"] : p["hi"] + LENGTH]))
+                parts, own = parts.as_py(), (doc.as_py(), h.as_py())
+                if any(p["words"] for p in parts):
+                    words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                for p in parts:
+                    if p["words"]:
+                        at = np.arange(p["lo"], p["hi"] + 1)
+                        w1, w2 = words.names(at, at + WORDS)
+                        rows.append((*own, p["lo"], p["anchor"], 1, False, None, [{"w1": x, "w2": y} for x, y in zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist(), strict=True)]))
+                    else:
+                        rows.append((*own, p["lo"], p["anchor"], p["n"], p["hot"], raw[p["lo"] : p["hi"] + LENGTH], None))
                 if len(rows) > 1000:
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]), preserve_index=False)
+                    yield done(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]), preserve_index=False)
+                yield done(rows)
 
     return docs.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "parts").mapInArrow(of, schema)
 
@@ -366,31 +430,51 @@ def _counted(contents: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, hot_contents: int = HOT_CONTENTS) -> DataFrame:
-    """Spans of repeated bytes (doc_id, h, start, stop), overlapping ones included, of (doc_id, h, text)."""
+    """Of (doc_id, h, text): spans of repeated bytes (doc_id, h, start, stop), overlapping ones included, and rows with
+    `passages` instead of a span, numbers of windows of WORDS words that stand in another document too."""
     spark = texts.sparkSession
     narrow = texts.select("doc_id", "h", "text")
-    anchors = _segment_rows(narrow, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("anchor")
-    rows = cut(_segment_rows(narrow, True).join(cut(anchors), "anchor", "left_semi"))
+    both = F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")
+    several_docs = F.col("_a") < F.col("_b")
+    anchors = _segment_rows(narrow, False).groupBy("words", "anchor").agg(F.count(F.lit(1)).alias("_k"), *both)
+    anchors = cut(anchors.filter(F.when(F.col("words"), several_docs).otherwise(F.col("_k") > 1)).select("words", "anchor"))
+    rows = cut(_segment_rows(narrow, True).join(anchors, ["words", "anchor"], "left_semi"))
+    drop(anchors)
     release(spark)
-    ids = ["anchor", "s1", "s2"]
-    contents = cut(rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "h", "lo", "hi")]))
-    whole = rows.join(cut(contents.filter("n > 1").select(*ids)), ids, "left_semi").select("doc_id", "h", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
-    several = cut(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("anchor", (F.col("_k") > hot_contents).alias("hot")))
-    edges = contents.join(several, "anchor")
+    ids = ["words", "anchor", "s1", "s2"]
+    contents = cut(rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), *both, *[F.first(c).alias(c) for c in ("doc_id", "h", "lo", "hi")]))
+    again = F.when(F.col("words"), several_docs).otherwise(F.col("n") > 1)
+    repeated = rows.join(contents.filter(again).select(*ids), ids, "left_semi")
+    place, none = [F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop")], F.lit(None).cast("long")
+    whole = repeated.filter("not words").select("doc_id", "h", *place, none.alias("passages"))
+    known = repeated.filter("words").groupBy("doc_id", "h").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("passages"))
+    several = cut(contents.groupBy("words", "anchor").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("words", "anchor", (~F.col("words") & (F.col("_k") > hot_contents)).alias("hot")))
+    # a segment of words that is repeated as a whole is counted already; its windows speak for it to the others
+    edges = contents.join(several, ["words", "anchor"])
     bytes_ = cut(_contents(narrow, edges))
     release(spark)
-    size = bytes_.filter("not hot").agg(F.sum(F.length("content"))).first()[0] or 0
-    spans = whole.unionByName(_sharded(bytes_.filter("not hot"), size))
-    if bytes_.filter("hot").limit(1).count():
-        spans = spans.unionByName(_counted(bytes_.filter("hot")))
-    return spans
+    in_words = cut(bytes_.filter("windows is not null").select("doc_id", "h", "lo", "anchor", F.posexplode("windows").alias("i", "w")).select("doc_id", "h", "lo", "anchor", "w.*"))
+    twice = in_words.groupBy("w1", "w2").agg(*both).filter(several_docs).select("w1", "w2")
+    counted = contents.filter(F.col("words") & again).select("doc_id", "h", "lo", "anchor")
+    alone = in_words.join(counted, ["doc_id", "h", "lo", "anchor"], "left_anti").join(twice, ["w1", "w2"], "left_semi")
+    more = alone.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("passages"))
+    passages = known.unionByName(more).select("doc_id", "h", none.alias("start"), none.alias("stop"), "passages")
+    in_bytes = bytes_.filter("windows is null").drop("windows")
+    size = in_bytes.filter("not hot").agg(F.sum(F.length("content"))).first()[0] or 0
+    spans = _sharded(in_bytes.filter("not hot"), size)
+    if not in_bytes.filter("hot").isEmpty():
+        spans = spans.unionByName(_counted(in_bytes.filter("hot")))
+    return whole.unionByName(spans.withColumn("passages", none)).unionByName(passages)
 
 
-DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_windows long, kept binary"
 
 
 def deduplicate(docs: DataFrame, hot_contents: int = HOT_CONTENTS) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept (the bytes that stay).
+    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_passage_windows and kept (the bytes that stay).
+
+    n_passage_windows: runs of WORDS words, whatever their bytes, that stand in a text of another id
+    as well; ASCII letters without case.
 
     Null and empty texts have no bytes and lose none. Repeated rows are repeated text: whatever of
     them is long enough goes from each. Rows without an id are rows like others.
@@ -399,13 +483,15 @@ def deduplicate(docs: DataFrame, hot_contents: int = HOT_CONTENTS) -> DataFrame:
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     texts = docs.select(own.alias("doc_id"), F.xxhash64(held).alias("h"), held.alias("text"))
     spans = cut(repeated_spans(texts, hot_contents))
-    lists = cut(spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    places = F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "stop"))).alias("spans")
+    lists = cut(spans.groupBy("doc_id", "h").agg(places, F.sum("passages").alias("passages")))
+    drop(spans)
     release(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, given in zip(*[batch.column(k) for k in range(3)], strict=True):
+            for doc, text, given, passages in zip(*[batch.column(k) for k in range(4)], strict=True):
                 raw = text.as_py().encode()
                 removed = n = at = 0
                 kept = []
@@ -422,9 +508,9 @@ def deduplicate(docs: DataFrame, hot_contents: int = HOT_CONTENTS) -> DataFrame:
                         at = stop
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                rows.append((None if doc.as_py() == -(1 << 63) else doc.as_py(), len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+                rows.append((None if doc.as_py() == -(1 << 63) else doc.as_py(), len(raw), removed, n, hashlib.sha256(rest).hexdigest(), passages.as_py() or 0, rest))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in DEDUPED.split(", ")])
 
-    return texts.join(lists, ["doc_id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(of, DEDUPED)
+    return texts.join(lists, ["doc_id", "h"], "left").select("doc_id", "text", "spans", "passages").mapInArrow(of, DEDUPED)
