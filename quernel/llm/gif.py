@@ -1,9 +1,10 @@
 """Media columns of GIF: decoding to timed frames with colour histograms, and a lossless store of bytes.
 
 The decoder reads global and local palettes, LZW code streams, interlacing, delays, transparency and
-the disposal rules. Code streams that a vector pass can prove to hold single samples and clear codes
-only are unpacked by it; all others go through the table. The encoder makes such streams: it clears
-before codes grow beyond nine bits, so size follows the input's and never the worst case of LZW.
+the disposal rules. Code streams are read in vectors: between two clear codes the widths follow from
+the places, each code beyond the table's start stands for what an earlier code gave and one sample
+more, so lengths and samples follow from chains of places, resolved by doubling. The encoder grows
+its table to twelve bits and clears it when it is full.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,12 @@ WIDTH = 576
 FRAME_LINES = 64
 DELAY_CS = 4
 PAD = 255
+#: Bins of each colour channel.
 BINS = 8
-CLEAR_EVERY = 254
-GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+MOST_CODES = 4096
+_STEPS = np.arange(256, dtype=np.uint16)
+#: The palette of stored bytes: red is the byte itself, green and blue spread it over the other channels.
+PALETTE = np.stack([_STEPS, 255 - _STEPS, _STEPS * 97 % 256], axis=1).astype(np.uint8)
 
 
 @dataclass
@@ -51,27 +56,55 @@ def payload_of(text: str | None) -> bytes:
     return raw + bytes([PAD]) * (max(1, -(-len(raw) // WIDTH)) * WIDTH - len(raw))
 
 
-def _pack_nine(codes: np.ndarray) -> bytes:
-    """Nine-bit codes, least bit first."""
-    n = len(codes)
-    c = np.zeros((-(-n // 8), 8), np.uint32)
-    c.ravel()[:n] = codes
-    out = np.empty((len(c), 9), np.uint8)
-    for k in range(9):
-        low = c[:, k] << k if k < 8 else 0
-        high = c[:, k - 1] >> (9 - k) if k else 0
-        out[:, k] = (low | high) & 255
-    return out.tobytes()[: -(-9 * n // 8)]
-
-
-def _unpack_nine(data: np.ndarray) -> np.ndarray:
-    n = len(data) * 8 // 9
-    b = np.zeros((-(-n // 8), 9), np.uint16)
-    b.ravel()[: min(len(data), b.size)] = data[: b.size]
-    out = np.empty((len(b), 8), np.uint16)
-    for k in range(8):
-        out[:, k] = (b[:, k] >> k | b[:, k + 1] << (8 - k)) & 511
-    return out.ravel()[:n]
+@cache
+def _places(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bit offsets from a clear code on, widths) of the codes that follow it, for as long as a table may last."""
+    n = 3 * MOST_CODES
+    size = np.minimum((1 << bits) + 2 + np.maximum(np.arange(n) - 1, 0), MOST_CODES)  # of the table as each code is read
+    width = np.clip(np.ceil(np.log2(size + 1)).astype(np.int64), bits + 1, 12)
+    return np.append(0, np.cumsum(width)), width
+
+
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of given widths, least bit first."""
+    at = np.append(0, np.cumsum(widths))
+    x = codes.astype(np.int64) << (at[:-1] & 7)
+    where, size = at[:-1] >> 3, int(at[-1] + 7) >> 3
+    out = np.zeros(size + 3)
+    for k in range(3):
+        out[: size + 3] += np.bincount(where + k, weights=(x >> 8 * k) & 255, minlength=size + 3)[: size + 3]
+    return out[:size].astype(np.uint8).tobytes()
+
+
+def lzw(samples: bytes) -> bytes:
+    """The code stream of 8-bit samples: the table grows to 4096 entries, then a clear code begins a new one."""
+    clear, stop = 256, 257
+    codes, ends = [clear], []
+    table: dict[int, int] = {}
+    after, held = stop + 1, samples[0] if samples else stop
+    put = codes.append
+    for sample in samples[1:]:
+        key = held << 8 | sample
+        if key in table:
+            held = table[key]
+            continue
+        put(held)
+        if after < MOST_CODES:
+            table[key] = after
+            after += 1
+        else:
+            put(clear)
+            ends.append(len(codes))
+            table.clear()
+            after = stop + 1
+        held = sample
+    put(held)
+    if held != stop:
+        put(stop)
+    bounds = [1, *ends, len(codes)]
+    width = _places(8)[1]
+    widths = np.concatenate([[9], *[width[: b - a] for a, b in zip(bounds, bounds[1:], strict=False)]])
+    return _pack(np.array(codes), widths)
 
 
 def _blocks(data: bytes) -> bytes:
@@ -84,69 +117,73 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode(payload: bytes) -> bytes:
-    """A GIF of grey frames whose samples, in order, are the payload; its length is a multiple of the width."""
+    """A GIF whose samples, in order, are the payload; its length is a multiple of the width."""
     lines = len(payload) // WIDTH
     if len(payload) != lines * WIDTH or not lines:
         raise ValueError("the payload is no positive multiple of the width")
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(lines, FRAME_LINES), 0xF7, 0, 0), GREYS]
-    samples = np.frombuffer(payload, np.uint8)
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(lines, FRAME_LINES), 0xF7, 0, 0), PALETTE.tobytes()]
     for at in range(0, lines, FRAME_LINES):
-        part = samples[at * WIDTH : (at + FRAME_LINES) * WIDTH]
-        runs = -(-len(part) // CLEAR_EVERY)
-        codes = np.full((runs, CLEAR_EVERY + 1), 256, np.uint16)
-        flat = np.full(runs * CLEAR_EVERY, 257, np.uint16)
-        flat[: len(part)] = part
-        codes[:, 1:] = flat.reshape(runs, CLEAR_EVERY)
-        stream = codes.ravel()[: runs + len(part)]
+        part = payload[at * WIDTH : (at + FRAME_LINES) * WIDTH]
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, DELAY_CS, 0, 0))
         out.append(struct.pack("<BHHHHBB", 0x2C, 0, 0, WIDTH, len(part) // WIDTH, 0, 8))
-        out.append(_blocks(_pack_nine(np.append(stream, 257))))
+        out.append(_blocks(lzw(part)))
     return b"".join([*out, b"\x3b"])
 
 
+def _run(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Samples of the codes between two clear codes. A code may refer to those before it alone."""
+    n, base = len(codes), (1 << bits) + 2
+    places = np.arange(n)
+    deep = codes >= base
+    if ((codes - base >= places) & deep).any() or ((codes >= base - 2) & ~deep).any():
+        raise ValueError("a code is beyond the table")
+    # code k >= base is what the code at place k - base gave, and the first sample of the one after it
+    jump, length = np.where(deep, codes - base, places), deep.astype(np.int64)
+    while True:
+        then = jump[jump]
+        if (then == jump).all():
+            break
+        length, jump = length + length[jump], then
+    length += 1
+    start = np.append(0, np.cumsum(length))
+    total = int(start[-1])
+    # a sample of such a code lies as far behind as the two places' outputs are apart
+    back = np.where(deep, start[:-1] - start[np.where(deep, codes - base, 0)], 0)
+    source = np.arange(total) - np.repeat(back, length)
+    while True:
+        then = source[source]
+        if (then == source).all():
+            break
+        source = then
+    value = np.zeros(total, np.uint8)
+    value[start[:-1][~deep]] = codes[~deep]
+    return value[source]
+
+
 def unpack_codes(data: bytes, bits: int, most: int) -> np.ndarray:
     """Samples of an LZW code stream with codes of bits + 1 bits at first; no more than `most`."""
-    if bits == 8:
-        codes = _unpack_nine(np.frombuffer(data, np.uint8))
-        end = np.flatnonzero(codes == 257)
-        if len(end):
-            codes = codes[: end[0]]
-            clears = np.flatnonzero(codes == 256)
-            gaps = np.diff(np.append(clears, len(codes))) - 1
-            if (codes < 257).all() and len(clears) and clears[0] == 0 and gaps.max(initial=0) <= CLEAR_EVERY:
-                return codes[codes < 256].astype(np.uint8)[:most]
-    clear, stop = 1 << bits, (1 << bits) + 1
-    table = [bytes([k]) for k in range(clear)] + [b"", b""]
-    width, hold, have, before, out, size = bits + 1, 0, 0, None, [], 0
-    for byte in data:
-        hold |= byte << have
-        have += 8
-        while have >= width:
-            code = hold & ((1 << width) - 1)
-            hold >>= width
-            have -= width
-            if code == clear:
-                del table[stop + 1 :]
-                width, before = bits + 1, None
-                continue
-            if code == stop or size >= most:
-                return np.frombuffer(b"".join(out)[:most], np.uint8)
-            if before is None:
-                if code >= clear:
-                    raise ValueError("a code stream begins with a code that is not in its table")
-                entry = table[code]
-            else:
-                if code > len(table) or (code == len(table) and len(table) == 4096):
-                    raise ValueError("a code is beyond the table")
-                entry = table[code] if code < len(table) else before + before[:1]
-                if len(table) < 4096:
-                    table.append(before + entry[:1])
-                    if len(table) == 1 << width and width < 12:
-                        width += 1
-            out.append(entry)
-            size += len(entry)
-            before = entry
-    return np.frombuffer(b"".join(out)[:most], np.uint8)
+    clear, at, got, have = 1 << bits, 0, [], 0
+    offsets, widths = _places(bits)
+    size = len(data) * 8
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    while at < size and have < most:
+        n = int(np.searchsorted(offsets, size - at, "right")) - 1
+        places, wide = at + offsets[:n], widths[:n]
+        where = places >> 3
+        codes = (raw[where] | raw[where + 1] << 8 | raw[where + 2] << 16) >> (places & 7) & ((1 << wide) - 1)
+        ends = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        last = int(ends[0]) if len(ends) else n
+        if last:
+            if codes[0] > clear:
+                raise ValueError("a code stream begins with a code that is not in its table")
+            got.append(_run(codes[:last], bits))
+            have += len(got[-1])
+        if not len(ends) and n < len(widths) or len(ends) and codes[last] == clear + 1:
+            break
+        at += int(offsets[last + 1] if len(ends) else offsets[n])
+        if not len(ends):
+            raise ValueError("a table lasts for longer than any reader keeps it")
+    return np.concatenate(got)[:most] if got else np.empty(0, np.uint8)
 
 
 def _lines(height: int, interlaced: bool) -> list[int]:
@@ -216,7 +253,7 @@ def _decode(data: bytes) -> Iterator[Frame]:
             area[..., :3], area[..., 3] = rgb, 255
         else:
             area[drawn] = np.concatenate([rgb[drawn], np.full((int(drawn.sum()), 1), 255, np.uint8)], axis=1)
-        yield Frame(left, top, samples, palette, delay, disposal, clear, canvas, area)
+        yield Frame(left, top, samples, palette, delay, disposal, clear, canvas.copy(), area.copy())
         if disposal == 2:
             area[...] = 0
         elif before is not None:
@@ -225,12 +262,19 @@ def _decode(data: bytes) -> Iterator[Frame]:
 
 
 def histogram(pixels: np.ndarray, bins: int = BINS) -> list[int]:
-    """Visible pixels by grey value (the mean of the channels) in equal bins."""
+    """Visible pixels by red, then by green, then by blue, each in equal bins."""
     flat = pixels.reshape(-1, 4)
-    if len(flat) and not flat[:, 3].all():
-        flat = flat[flat[:, 3] > 0]
-    grey = flat[:, 0] if (flat[:, 0] == flat[:, 1]).all() and (flat[:, 1] == flat[:, 2]).all() else flat[:, :3].mean(axis=1).astype(np.uint8)
-    return np.add.reduceat(np.bincount(grey, minlength=256), np.arange(0, 256, 256 // bins)).tolist()
+    seen = flat if not len(flat) or flat[:, 3].all() else flat[flat[:, 3] > 0]
+    return [int(x) for k in range(3) for x in np.bincount(seen[:, k] // (256 // bins), minlength=bins)]
+
+
+def histogram_of(frame: Frame, bins: int = BINS) -> list[int]:
+    """The same for the area a frame draws, from the counts of its samples where no pixel is see-through."""
+    if frame.transparent is not None:
+        return histogram(frame.shown, bins)
+    n = len(frame.palette)
+    counts = np.bincount(np.minimum(frame.samples.ravel(), n - 1), minlength=n)
+    return [int(x) for k in range(3) for x in np.bincount(frame.palette[:, k] // (256 // bins), weights=counts, minlength=bins)]
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -276,19 +320,22 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Reads stored media back: digests of the samples through their palettes, and a feature of the frames."""
+    """Reads stored media back: digests of the samples through their palettes, and a feature of the frames.
+
+    A sample's byte is the red of its colour. The feature has the frames, their time and colour histogram.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 blob = blob.as_py()
-                hashed, size, tail, count, ms, bins = hashlib.sha256(), 0, b"", 0, 0, np.zeros(BINS, np.int64)
+                hashed, size, tail, count, ms, bins = hashlib.sha256(), 0, b"", 0, 0, np.zeros(3 * BINS, np.int64)
                 for f in decode(blob):
                     part = np.ascontiguousarray(f.palette[f.samples.ravel(), 0]).tobytes()
                     hashed.update(part)
                     size, tail, count, ms = size + len(part), (tail + part)[-32:], count + 1, ms + f.delay_ms
-                    bins += histogram(f.shown)
+                    bins += histogram_of(f)
                 feature = json.dumps({"frames": count, "ms": ms, "histogram": bins.tolist()}, separators=(",", ":"))
                 out.append((doc, n, size, hashed.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), feature))
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
