@@ -57,9 +57,8 @@ def payload_of(text: str | None) -> bytes:
 
 
 @cache
-def _places(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bit offsets from a clear code on, widths) of the codes that follow it, for as long as a table may last."""
-    n = 3 * MOST_CODES
+def _places(bits: int, n: int = 2 * MOST_CODES) -> tuple[np.ndarray, np.ndarray]:
+    """(bit offsets from a clear code on, widths) of the n codes that follow it; a full table lasts until it is cleared."""
     size = np.minimum((1 << bits) + 2 + np.maximum(np.arange(n) - 1, 0), MOST_CODES)  # of the table as each code is read
     width = np.clip(np.ceil(np.log2(size + 1)).astype(np.int64), bits + 1, 12)
     return np.append(0, np.cumsum(width)), width
@@ -163,8 +162,8 @@ def _run(codes: np.ndarray, bits: int) -> np.ndarray:
 def unpack_codes(data: bytes, bits: int, most: int) -> np.ndarray:
     """Samples of an LZW code stream with codes of bits + 1 bits at first; no more than `most`."""
     clear, at, got, have = 1 << bits, 0, [], 0
-    offsets, widths = _places(bits)
     size = len(data) * 8
+    offsets, widths = _places(bits)
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     while at < size and have < most:
         n = int(np.searchsorted(offsets, size - at, "right")) - 1
@@ -172,17 +171,18 @@ def unpack_codes(data: bytes, bits: int, most: int) -> np.ndarray:
         where = places >> 3
         codes = (raw[where] | raw[where + 1] << 8 | raw[where + 2] << 16) >> (places & 7) & ((1 << wide) - 1)
         ends = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        if not len(ends) and n == len(widths):  # a table that lasts for longer than most
+            offsets, widths = _places(bits, 2 * n)
+            continue
         last = int(ends[0]) if len(ends) else n
         if last:
             if codes[0] > clear:
                 raise ValueError("a code stream begins with a code that is not in its table")
             got.append(_run(codes[:last], bits))
             have += len(got[-1])
-        if not len(ends) and n < len(widths) or len(ends) and codes[last] == clear + 1:
+        if not len(ends) or codes[last] == clear + 1:
             break
-        at += int(offsets[last + 1] if len(ends) else offsets[n])
-        if not len(ends):
-            raise ValueError("a table lasts for longer than any reader keeps it")
+        at += int(offsets[last + 1])
     return np.concatenate(got)[:most] if got else np.empty(0, np.uint8)
 
 
