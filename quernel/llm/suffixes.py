@@ -356,10 +356,10 @@ def _segment_rows(docs: DataFrame, whole: bool) -> DataFrame:
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of segments (doc_id, h, lo, hi, anchor, n, hot), and the windows' names of those of words."""
-    lists = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "anchor", "n", "hot", "words")).alias("parts"))
-    schema = "doc_id long, h long, lo long, anchor long, n long, hot boolean, content binary, windows array<struct<w1:long,w2:long>>"
+    lists = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "anchor", "n", "hot", "words", "known")).alias("parts"))
+    schema = "doc_id long, h long, lo long, anchor long, n long, hot boolean, known boolean, content binary, windows array<struct<w1:long,w2:long>>"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary(), pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
@@ -376,9 +376,9 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     if p["words"]:
                         at = np.arange(p["lo"], p["hi"] + 1)
                         w1, w2 = words.names(at, at + WORDS)
-                        rows.append((*own, p["lo"], p["anchor"], 1, False, None, [{"w1": x, "w2": y} for x, y in zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist(), strict=True)]))
+                        rows.append((*own, p["lo"], p["anchor"], 1, False, p["known"], None, [{"w1": x, "w2": y} for x, y in zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist(), strict=True)]))
                     else:
-                        rows.append((*own, p["lo"], p["anchor"], p["n"], p["hot"], raw[p["lo"] : p["hi"] + LENGTH], None))
+                        rows.append((*own, p["lo"], p["anchor"], p["n"], p["hot"], False, raw[p["lo"] : p["hi"] + LENGTH], None))
                 if len(rows) > 1000:
                     yield done(rows)
                     rows = []
@@ -447,19 +447,21 @@ def repeated_spans(texts: DataFrame, hot_contents: int = HOT_CONTENTS) -> DataFr
     repeated = rows.join(contents.filter(again).select(*ids), ids, "left_semi")
     place, none = [F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop")], F.lit(None).cast("long")
     whole = repeated.filter("not words").select("doc_id", "h", *place, none.alias("passages"))
-    known = repeated.filter("words").groupBy("doc_id", "h").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("passages"))
+    own = ["doc_id", "h", "lo"]  # repeated rows are one document, whose segments of words count once
+    known = repeated.filter("words").groupBy(*own).agg(F.any_value("hi").alias("hi")).groupBy("doc_id", "h").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("passages"))
     several = cut(contents.groupBy("words", "anchor").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("words", "anchor", (~F.col("words") & (F.col("_k") > hot_contents)).alias("hot")))
-    # a segment of words that is repeated as a whole is counted already; its windows speak for it to the others
-    edges = contents.join(several, ["words", "anchor"])
+    # one segment of words that is repeated as a whole speaks for it to the others; those of one document stand for themselves
+    fields = ["words", "anchor", "doc_id", "h", "lo", "hi", "n"]
+    alone = rows.filter("words").join(contents.filter(F.col("words") & ~again).select(*ids), ids, "left_semi").dropDuplicates(own)
+    edges = contents.filter(~F.col("words") | again).select(*fields, (F.col("words")).alias("known"))
+    edges = edges.unionByName(alone.withColumn("n", F.lit(1).cast("long")).select(*fields, F.lit(False).alias("known"))).join(several, ["words", "anchor"])
     bytes_ = cut(_contents(narrow, edges))
     release(spark)
-    in_words = cut(bytes_.filter("windows is not null").select("doc_id", "h", "lo", "anchor", F.posexplode("windows").alias("i", "w")).select("doc_id", "h", "lo", "anchor", "w.*"))
+    in_words = bytes_.filter("windows is not null").select("doc_id", "h", "known", F.explode("windows").alias("w")).select("doc_id", "h", "known", "w.*")
     twice = in_words.groupBy("w1", "w2").agg(*both).filter(several_docs).select("w1", "w2")
-    counted = contents.filter(F.col("words") & again).select("doc_id", "h", "lo", "anchor")
-    alone = in_words.join(counted, ["doc_id", "h", "lo", "anchor"], "left_anti").join(twice, ["w1", "w2"], "left_semi")
-    more = alone.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("passages"))
+    more = in_words.filter("not known").join(twice, ["w1", "w2"], "left_semi").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("passages"))
     passages = known.unionByName(more).select("doc_id", "h", none.alias("start"), none.alias("stop"), "passages")
-    in_bytes = bytes_.filter("windows is null").drop("windows")
+    in_bytes = bytes_.filter("windows is null").drop("windows", "known")
     size = in_bytes.filter("not hot").agg(F.sum(F.length("content"))).first()[0] or 0
     spans = _sharded(in_bytes.filter("not hot"), size)
     if not in_bytes.filter("hot").isEmpty():
