@@ -6,7 +6,8 @@ and a prior of its host. Host priors are smoothed in steps, host to address suff
 documents, over counts of what the texts alone say; counts are grouped sums, so a hot host costs no
 more than any other.
 
-The models are fitted on a bounded sample of labelled rows (`SAMPLE`); all else covers all rows.
+The models are fitted on a bounded sample of labelled rows, `SAMPLE` of each of the `MOST_LANGUAGES`
+labels that most rows have; all else covers all rows. So what is broadcast is bounded as well.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.common import byte_chunks, cut
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
-#: Labelled rows that the models are fitted on, at most.
-SAMPLE = 4000
+#: Labelled rows of a language that its model is fitted on, and languages that have a model, at most.
+SAMPLE = 1000
+MOST_LANGUAGES = 256
 #: Trigrams of a text that count in full; more add nothing, as they are not independent.
 MOST_GRAMS = 200
 #: How far below an even spread over the trigrams seen the unknown language is: text must be that alien.
@@ -63,11 +65,21 @@ def grams(data: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Models:
     """Models of the languages that label the sample; rows without a label or text are not used.
 
-    The sample is the `sample` labelled rows whose id hashes least: the same rows at each run. With
-    no labelled rows there is only the unknown language.
+    Labels are counted over all rows. Of each, the sample is the `sample` rows whose hashes of id and
+    text are least, repeated rows once: the same rows at each run, and no more if an id is repeated. With no labelled
+    rows there is only the unknown language.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & (F.char_length("text") > 2))
-    ids = labelled.select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(sample).select("doc_id").distinct()
+    top = (1 << 63) - 1
+    labelled = docs.filter(F.col("lang").isNotNull() & (F.char_length("text") > 2)).select("doc_id", "text", "lang")
+    labelled = labelled.withColumn("_h", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(top)))
+    totals = F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("_h").alias("n")
+    counts = labelled.groupBy("lang").agg(*totals).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect()
+    # by the hash alone about twice the rows that are kept, so that no label's rows are all sorted
+    least = F.lit(None).cast("long")
+    if counts:
+        least = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(top, 2 * sample * top // max(1, r["n"])))]), F.col("lang"))
+    few = labelled.filter(F.col("_h") <= least).dropDuplicates(["lang", "_h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))
     kind = "lang string, counts array<int>"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +93,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Models:
                     sums[langs[i]] = sums.get(langs[i], 0) + got
         yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.string()), pa.array([x.astype(np.int32) for x in sums.values()], pa.list_(pa.int32()))], names=["lang", "counts"])
 
-    # a few thousand rows in a few tasks: what reaches the driver is one array for each language and task
-    chosen = labelled.join(ids, "doc_id", "left_semi").select("text", "lang").coalesce(8)
+    # bounded rows in a few tasks: what reaches the driver is one array for each language and task
+    chosen = few.withColumn("_place", place).filter(F.col("_place") <= sample).select("text", "lang").coalesce(8)
     totals: dict[str, np.ndarray] = {}
     for row in chosen.mapInArrow(count, kind).toLocalIterator():
         totals[row["lang"]] = totals.get(row["lang"], 0) + np.array(row["counts"], np.int64)
