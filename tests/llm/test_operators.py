@@ -116,6 +116,59 @@ def test_language(spark, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_language_posterior_against_brute_force(spark):
+    import math
+
+    words = {"en": "the quick brown fox jumps over the lazy dog ", "de": "der schnelle braune fuchs über den faulen hund ", "fr": "le renard brun saute par dessus le chien "}
+    rng = np.random.default_rng(8)
+    data = []
+    for i in range(90):
+        own = str(rng.choice(list(words)))
+        said = own if rng.random() < 0.8 else str(rng.choice([*words, "xx"]))
+        host, suffix = str(rng.choice(["a.de", "b.de", "c.com", "d.fr"])), None
+        data.append((i, words[own] * int(rng.integers(1, 3)), None if i % 9 == 0 else said, None if i % 11 == 0 else host, suffix))
+    data += [(900, "12 !!", "en", "a.de", None), (901, None, "en", "a.de", None), data[5]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, x string")
+    label = F.substring_index("source", ".", -1)
+    models = language.fit(df)
+    names = models.languages
+    n = len(names)
+    scored = {r.doc_id: r for r in language.likelihoods(df.select("doc_id", "text"), models).collect()}
+    got = language.identify(df, models=models, suffix=label).collect()
+    tops = {i: int(np.argmax(r.log_l)) if r.n_grams else n - 1 for i, r in scored.items()}
+    count, up, whole, said = Counter(), Counter(), Counter(), Counter()
+    for i, _, lang, host, _ in data:
+        k, end = tops[i], host and host.rpartition(".")[2]
+        count[host, k] += 1
+        up[end, k] += 1
+        whole[k] += 1
+        said[k, lang] += lang in names
+    assert len(got) == len(data)
+    for r in got:
+        i, _, lang, host, _ = next(x for x in data if x[0] == r.doc_id)
+        if not scored[i].n_grams:
+            assert (r.language, r.kept) == ("und", False)
+            continue
+        end, logs = host and host.rpartition(".")[2], []
+        for k in range(n):
+            common = (whole[k] + 1) / (sum(whole.values()) + n)
+            above = (up[end, k] + language.SUFFIX_WEIGHT * common) / (sum(up[end, j] for j in range(n)) + language.SUFFIX_WEIGHT)
+            prior = (count[host, k] + language.HOST_WEIGHT * above) / (sum(count[host, j] for j in range(n)) + language.HOST_WEIGHT)
+            rate = 1.0
+            if lang in names:
+                first = language.DECLARED_RIGHT if lang == names[k] else (1 - language.DECLARED_RIGHT) / max(1, n - 1)
+                rate = (said[k, lang] + language.DECLARED_WEIGHT * first) / (sum(said[k, e] for e in names) + language.DECLARED_WEIGHT)
+            logs.append(scored[i].log_l[k] + math.log(prior) + math.log(rate))
+        best = int(np.argmax(logs))
+        assert r.language == names[best] and abs(r.probability - 1 / sum(math.exp(x - logs[best]) for x in logs)) < 1e-5
+
+
+def test_language_sample_is_bounded(spark):
+    data = [(7, "the same text again and again", "en")] * 3000 + [(k, f"der text nummer {k} ist kurz", "de") for k in range(3000)] + [(k, "un texte rare", "fr") for k in range(2)]
+    models = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), sample=50)
+    assert models.languages == ("de", "en", "fr", "und")
+
+
 def test_quality(docs, empty, rows):
     texts = {r[0]: r[1] or "" for r in rows}
     got = quality.apply(quality.ledger(docs)).collect()
@@ -184,27 +237,38 @@ def test_personal_data_in_contexts_with_more_unseen_than_known(spark):
 def test_counts(docs, empty, rows):
     encode = tokens.encoder()
     texts = {r[0]: r[1] or "" for r in rows}
-    for r in tokens.edit_counts(tokens.sample_edits(docs), leaf_chars=40).collect():
+    for r in tokens.edit_counts(tokens.sample_edits(docs)).collect():
         text = texts[r.doc_id]
         assert r.n_tokens == len(encode(text))
         n = len(text)
         for k in (3, 2, 1):
             text = text[: n * k // 4] + " [edited]" + text[n * k // 4 + 5 :]
         assert r.n_tokens_edited == len(encode(text))
+        usual = n >= 2000 and max(map(len, re.split(r"\s", texts[r.doc_id]))) < 30
+        assert r.encoded_chars == n and (not usual or r.reencoded_chars < n / 20)
     assert tokens.edit_counts(tokens.sample_edits(empty)).count() == 0
 
 
+def test_kept_trees_take_the_next_edits(docs, rows):
+    encode = tokens.encoder()
+    kept = tokens.apply_edits(tokens.trees(tokens.sample_edits(docs)))
+    again = tokens.apply_edits(tokens.sample_edits(kept.select("doc_id", "text", "chars", "tokens", "encoded_chars")))
+    for r in again.collect():
+        assert r.n_tokens_edited == len(encode(r.text)) and r.text.count("[edited]") >= 3
+
+
 def test_count_tree_under_random_edits():
-    encode, rng = tokens.encoder(), np.random.default_rng(3)
-    text = _sentence(9, 300) + "  \n 12 it's \x1c!x"
-    tree = tokens.CountTree(text, lambda x: len(encode(x)), 30)
-    for _ in range(150):
+    encode, lengths, rng = tokens.encoder(), tokens.byte_lengths(), np.random.default_rng(3)
+    text = _sentence(9, 300) + "  \n 12 it's \x1c!x\u00a0\u3000 e\u0301\U0001f600"
+    tree = tokens.CountTree(*tokens.leaf_counts(text, encode(text), lengths))
+    for k in range(300):
         a = int(rng.integers(0, len(text) + 1))
-        b = min(len(text), a + int(rng.integers(0, 60)))
-        new = rng.choice(["", " ", "x", "\n\n", " it's 7", "word " * 20])
+        b = min(len(text), a + int(rng.integers(0, 60))) if k != 150 else len(text)
+        a = 0 if k == 150 else a
+        new = str(rng.choice(["", " ", "x", "\n\n", " it's 7", "word " * 20, "\u3000", "\x1d 5"]))
+        after, _ = tree.replace(text, a, b, new, encode, lengths)
         text = text[:a] + new + text[b:]
-        tree.replace(a, b, str(new))
-        assert tree.total == len(encode(text)) and "".join(tree.parts) == text
+        assert after == text and tree.total == len(encode(text)) and tree.chars[1] == len(text)
 
 
 def test_ids_are_those_of_the_tokenizer_file(rows):
@@ -229,7 +293,7 @@ def test_suffix_deduplication(docs, empty, rows, hot):
                 gone[i : i + 400] = True
         runs = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
         expected[(r[0], len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
-    got = Counter(map(tuple, suffixes.deduplicate(docs, hot).drop("kept").collect()))
+    got = Counter(map(tuple, suffixes.deduplicate(docs, hot).drop("kept", "n_passage_windows").collect()))
     assert got == expected
     if hot == 3000:
         assert suffixes.deduplicate(empty).count() == 0
@@ -303,6 +367,16 @@ def _lzw(samples: bytes, bits: int) -> bytes:
     return total.to_bytes(-(-shift // 8), "little")
 
 
+def test_stored_gifs_are_compressed_and_hold_any_bytes():
+    rng = np.random.default_rng(5)
+    for payload in (b"a" * 57600, rng.integers(0, 256, 57600).astype(np.uint8).tobytes(), (b"to be or not " * 5000)[:57600]):
+        data = gif.encode(payload)
+        assert b"".join(np.ascontiguousarray(f.palette[f.samples.ravel(), 0]).tobytes() for f in gif.decode(data)) == payload
+        assert _lzw(payload[: 64 * 576], 8) and (payload[0] != 97 or len(data) < 4000)
+    first, second = (f.canvas for f in gif.decode(gif.encode(b"a" * 64 * 576 + b"b" * 64 * 576)))
+    assert (first[..., 0] == 97).all() and (second[..., 0] == 98).all()
+
+
 def test_gif_streams_palettes_and_disposal():
     rng = np.random.default_rng(0)
     for bits, top in ((2, 4), (8, 256)):
@@ -318,7 +392,7 @@ def test_gif_streams_palettes_and_disposal():
         return control + b"\x2c" + where + bytes([(0x80 if local else 0) | (0x40 if interlaced else 0)]) + local + b"\x02" + bytes([len(data)]) + data + b"\x00"
 
     data = head + frame([0, 1, 1, 0], 1) + frame([1, 0, 0, 1], 3, clear=0) + frame([1], 2, size=(1, 1, 1, 1), local=bytes([0, 255, 0, 9, 9, 9])) + frame([1, 1, 1, 1], 0, clear=1, interlaced=True) + b"\x3b"
-    seen = [(f.delay_ms, f.canvas.copy()) for f in gif.decode(data)]
+    seen = [(f.delay_ms, f.canvas) for f in gif.decode(data)]
     red, blue = [255, 0, 0, 255], [0, 0, 255, 255]
     assert [d for d, _ in seen] == [70] * 4
     assert seen[0][1].tolist() == [[red, blue], [blue, red]]
@@ -329,6 +403,40 @@ def test_gif_streams_palettes_and_disposal():
         list(gif.decode(data[:30]))
 
 
+def test_passages_of_other_documents(spark, docs, rows):
+    def of(data):
+        words = {r[0]: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")) for r in data}
+        where: dict[tuple, set] = {}
+        for i, w in words.items():
+            for k in range(len(w) - 50):
+                where.setdefault(tuple(w[k : k + 51]), set()).add(i)
+        return {i: sum(len(where[tuple(w[k : k + 51])]) > 1 for k in range(len(w) - 50)) for i, w in words.items()}
+
+    shared = " ".join(f"w{k}" for k in range(55))
+    data = [(i, f"{_sentence(300 + i, 40 + i)}\n{shared if i % 2 else shared.upper()}\t{_sentence(400 + i, 30)}") for i in range(6)]
+    data += [(10, f"{shared} {_sentence(9, 9)} {shared}"), (11, _sentence(12, 70) + " " + _sentence(12, 70))]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    for table, given in ((docs, rows), (frame, data)):
+        got, wanted = suffixes.deduplicate(table).collect(), of(given)
+        assert all(r.n_passage_windows == wanted[r.doc_id] for r in got)
+
+
+def test_near_copies_are_not_expanded_into_pairs(spark, monkeypatch):
+    seen, plain = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    rng, base = np.random.default_rng(4), _sentence(1, 200).split()
+    texts = [" ".join(base)]
+    for _ in range(159):
+        own = list(base)
+        for k in rng.integers(0, 200, 3):
+            own[k] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(own))
+    order = rng.permutation(160)  # the text that all were made from has any id
+    got = jaccard.join(spark.createDataFrame([(int(i), t) for i, t in zip(order, texts, strict=True)], "doc_id long, text string"))
+    assert {r.component_id for r in got.collect()} == {0}
+    assert sum(seen) < 4 * 160
+
+
 def test_jaccard(docs, empty, rows):
     sets = {}
     for r in rows:
