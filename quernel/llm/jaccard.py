@@ -462,14 +462,19 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
     found = cut(_sets(texts))
     sets = found.filter(F.col("part").isNull()).drop("part", "counts")
     busy = _busy(found)
-    classes = cut(sets.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")))
+    classes = sets.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"))
+    member = cut(sets.filter(F.col("n") > 0).join(classes, ["s1", "s2"]).select("doc_id", "n", "class_id"))
 
-    nodes = cut(_nodes(texts, busy, percent))
-    at = cut(nodes.select("node", "n", "point").dropDuplicates(["node"]))
-    rows = _token_rows(nodes)
+    # a class of equal sets is one node, named by its least document; each task has sent one document of it
+    sent = cut(_nodes(texts, busy, percent))
+    one = sent.select(F.col("node").alias("doc_id")).join(member.select("doc_id", "class_id").distinct(), "doc_id").groupBy("class_id").agg(F.min("doc_id").alias("node"))
+    at = cut(sent.join(one, "node").dropDuplicates(["node"]).withColumn("node", F.col("class_id")).drop("class_id"))
+    drop(sent)
+    rows = _token_rows(at)
     blocks = cut(rows.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter(F.col("_a") < F.col("_b")).select("token"))
     shared = cut(rows.join(blocks, "token"))
-    drop(nodes, blocks)
+    drop(blocks)
+    release(spark)
     # how many of its first tokens a node shares; the greatest in a block is the block's centre
     degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     centres = shared.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", (-F.col("node")).alias("_node"))).alias("_c"))
@@ -477,16 +482,17 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
     held = cut(shared.join(centres, "token").filter(F.col("node") != F.col("centre")))
     drop(shared)
     release(spark)
-    near = cut(_bounded(held.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), at, percent))
+    points = at.select("node", "n", "point")
+    near = cut(_bounded(held.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), points, percent))
     links = _verified(near, texts, percent)
     drop(near)
     release(spark)
 
     # centres are settled, so they are no rows of the blocks that are searched
-    rest, refuted, named = held.select("token", "node", "rest"), None, NAMED
+    rest, refuted, linked, named = held.select("token", "node", "rest"), None, None, NAMED
     while True:
-        linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        found_now = cut(_between(_cells(rest, linked, at, tile_rows), named, percent))
+        linked = linked if linked is not None else components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found_now = cut(_between(_cells(rest, linked, points, tile_rows), named, percent))
         release(spark)
         new = found_now.filter("token is null").select("a", "b")
         new = cut(new if refuted is None else new.join(refuted, ["a", "b"], "left_anti").select("a", "b"))
@@ -495,6 +501,8 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
             bad = new.join(good, ["a", "b"], "left_anti")
             refuted = cut(bad if refuted is None else refuted.unionByName(bad))
             links = cut(links.unionByName(good))
+            if not good.isEmpty():
+                linked = None
             drop(new, good, links_before, refuted_before)
             release(spark)
         # a block none of whose members left any out has nothing more to say
@@ -507,10 +515,7 @@ def join(docs: DataFrame, percent: int = PERCENT, tile_rows: int = TILE_ROWS) ->
         named *= GROWTH
     drop(held, rest, at, refuted)
 
-    member = cut(sets.filter(F.col("n") > 0).join(classes, ["s1", "s2"]).select("doc_id", "n", "class_id"))
-    to_class = member.select("doc_id", "class_id").distinct()
-    ends = links.join(to_class.select(F.col("doc_id").alias("a"), F.col("class_id").alias("u")), "a").join(to_class.select(F.col("doc_id").alias("b"), F.col("class_id").alias("v")), "b").select("u", "v")
-    whole = cut(components(ends))
+    whole = linked if linked is not None else components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     out = member.join(whole, member["class_id"] == whole["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"))
     bare = sets.filter(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     lost = every.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
