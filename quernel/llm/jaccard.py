@@ -336,7 +336,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "tokens"])
 
-    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(of, "doc_id long, tokens array<long>"))
+    # by a shuffle whatever the number of ids, so that the plan of a small table is that of a large one
+    sets = cut(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(of, "doc_id long, tokens array<long>"))
     release(docs.sparkSession)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("_a")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("_b")), "b")
