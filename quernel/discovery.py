@@ -73,13 +73,33 @@ class Index:
         for r in model.relationships.values():
             self._add("relationship", f"relationship.{r.name}", r.name, None)
         self._by_reference = {(a.kind, a.reference): a for a in self.assets}
+        self._kinds: dict[str, list[Asset]] = {}
+        for a in sorted(self.assets, key=lambda a: a.reference):
+            self._kinds.setdefault(a.kind, []).append(a)
+        self._places: dict[str, list[int]] | None = None  # assets by each three characters of their texts, made for the first search
+
+    def _near(self, text: str) -> list[Asset]:
+        """Assets that a word of the text may be part of; words of one or two characters may be part of any."""
+        words = plain(text).split()
+        if any(len(w) < 3 for w in words):
+            return self.assets
+        if self._places is None:
+            self._places = {}
+            for k, a in enumerate(self.assets):
+                whole = plain(f"{a.name} {a.reference} {a.context}")
+                for part in {whole[i : i + 3] for i in range(len(whole) - 2)}:
+                    self._places.setdefault(part, []).append(k)
+        found: set[int] = set()
+        for w in words:
+            found.update(min((self._places.get(w[i : i + 3], []) for i in range(len(w) - 2)), key=len))
+        return [self.assets[k] for k in found]
 
     def _add(self, kind: str, reference: str, name: str, about: dict | None) -> None:
         about = about or {}
         self.assets.append(Asset(kind, reference, name, " ".join([about.get("description", ""), *about.get("aliases", [])])))
 
     def list(self, kind: str, limit: int = 20, start: int = 0) -> Page:
-        return paged(sorted((a for a in self.assets if a.kind == kind), key=lambda a: a.reference), limit, start)
+        return paged(self._kinds.get(kind, []), limit, start)
 
     def get(self, kind: str, reference: str) -> Asset:
         if (kind, reference) not in self._by_reference:
@@ -87,7 +107,7 @@ class Index:
         return self._by_reference[kind, reference]
 
     def search(self, text: str, kinds: tuple[str, ...] = (), limit: int = 20, start: int = 0) -> Page:
-        return ranked([a for a in self.assets if not kinds or a.kind in kinds], text, limit, start)
+        return ranked([a for a in self._near(text) if not kinds or a.kind in kinds], text, limit, start)
 
 
 @dataclass(frozen=True)
