@@ -243,10 +243,6 @@ def exact(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in df.schema])
 
 
-def _exact_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact(analysis.compare(engine(spark, sf_dir), ["revenue"], ["nation.n_name"], _TIME, _Y97, _Y98))
-
-
 def _exact_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact(engine(spark, sf_dir).query({"metrics": ["revenue", "max_price"], "dimensions": ["nation.n_name"]}))
 
